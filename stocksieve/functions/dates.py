@@ -18,7 +18,7 @@ def as_date(as_of: str | _dt.date | Column) -> Column:
 
 def parse_day_month_year(s: ColumnOrName) -> Column:
     """``'5 Dec 2024'`` / ``'05 Dec 2024'`` -> date; bad text -> null."""
-    return F.try_to_date(_c(s), F.lit("d MMM yyyy"))
+    return F.try_to_date(_c(s), "d MMM yyyy")
 
 
 def home_filing_date(s: ColumnOrName, as_of, roll_year: bool = False) -> Column:
@@ -28,7 +28,7 @@ def home_filing_date(s: ColumnOrName, as_of, roll_year: bool = False) -> Column:
     moved back one year; the default keeps the plain run-year reading."""
     day = as_date(as_of)
     text = F.replace(_c(s), F.lit("Today"), F.date_format(day, "dd MMM"))
-    parsed = F.try_to_date(F.concat(text, F.lit(" "), F.year(day).cast("string")), F.lit("d MMM yyyy"))
+    parsed = F.try_to_date(F.concat(text, F.lit(" "), F.year(day).cast("string")), "d MMM yyyy")
     if roll_year:
         parsed = F.when(parsed > day, F.add_months(parsed, -12)).otherwise(parsed)
     return parsed
