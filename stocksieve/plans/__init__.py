@@ -1,6 +1,6 @@
 """Named queries (``queries()``) and their SQL oracles (``oracle_sql()``)."""
 
-from . import ingest, screens  # noqa: F401  (registers queries)
+from . import fundamentals, ingest, screens  # noqa: F401  (registers queries)
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

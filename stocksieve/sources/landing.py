@@ -208,3 +208,23 @@ def cik_lists(customer: DataFrame) -> DataFrame:
     return (customer.where(F.col("c_mktsegment") == "BUILDING")
             .groupBy("c_nationkey", F.floor(F.col("c_custkey") / 1000).alias("block"))
             .agg(F.to_json(F.collect_list(F.lpad(F.col("c_custkey").cast("string"), 10, "0"))).alias("body")))
+
+
+def metadata_docs(fx_metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per fixture row, a nested history-metadata JSON document and a flat
+    company-info JSON document (some info keys absent), sharing a doc id."""
+    doc_id = F.xxhash64("symbol", "industry", "sector", "fulltimeemployees").alias("doc_id")
+    period = F.struct(F.struct(F.lit(1).alias("start"), F.lit(2).alias("end")).alias("pre"),
+                      F.struct(F.lit(3).alias("start"), F.lit(4).alias("end")).alias("regular"))
+    hist = F.struct(
+        F.lit("USD").alias("currency"), F.col("symbol"), F.lit("NMS").alias("exchangeName"),
+        F.lit("NasdaqGS").alias("fullExchangeName"), F.lit("EQUITY").alias("instrumentType"),
+        F.lit("America/New_York").alias("exchangeTimezoneName"),
+        F.concat(F.lit("Company "), F.col("symbol")).alias("shortName"),
+        period.alias("currentTradingPeriod"), F.lit("1d").alias("dataGranularity"),
+        F.lit("max").alias("range"), F.array(F.lit("1d"), F.lit("5d")).alias("validRanges"))
+    info = F.struct(F.col("industry"), F.col("sector"), F.col("fulltimeemployees").alias("fullTimeEmployees"),
+                    F.lit("summary").alias("longBusinessSummary"))
+    history_docs = fx_metadata.select(doc_id, "symbol", "date_insert", F.to_json(hist).alias("body"))
+    info_docs = fx_metadata.select(doc_id, "symbol", F.to_json(info).alias("body"))
+    return history_docs, info_docs
