@@ -21,6 +21,12 @@ FUND_SUFFIX_LEN = 21
 LOOKBACK_13F_DAYS = 60
 
 
+def _ordered(df: DataFrame, cols: list, sort: bool) -> DataFrame:
+    """Apply the report order only when the caller wants an ordered result
+    (feeding a union/aggregate, the order would be wasted work)."""
+    return df.orderBy(*cols) if sort else df
+
+
 def snapshot(df: DataFrame, as_of) -> DataFrame:
     """Rows of the ``as_of`` snapshot only."""
     return df.where(F.col("date_insert") == as_date(as_of))
@@ -34,7 +40,7 @@ def fund_display_name(raw) -> "F.Column":
 
 
 def thirteen_f_weights(holdings: DataFrame, cusip_map: DataFrame, as_of,
-                       lookback_days: int = LOOKBACK_13F_DAYS) -> DataFrame:
+                       lookback_days: int = LOOKBACK_13F_DAYS, sort: bool = True) -> DataFrame:
     """Portfolio weight of each ticker in each fund, in percent of the
     fund's summed per-ticker maximum share count.
 
@@ -50,25 +56,25 @@ def thirteen_f_weights(holdings: DataFrame, cusip_map: DataFrame, as_of,
                 .agg(F.max("prn_amt").alias("max_prn_amt"))
                 .withColumn("fund_name", fund_display_name("fund_name")))
     weighted = share_of_total(per_pair, ["fund_name"], "max_prn_amt", "weight", digits=4)
-    return (weighted.select("ticker", "fund_name", "weight")
-                    .orderBy(F.col("fund_name").asc_nulls_last(), F.col("weight").desc_nulls_first()))
+    return _ordered(weighted.select("ticker", "fund_name", "weight"),
+                    [F.col("fund_name").asc_nulls_last(), F.col("weight").desc_nulls_first()], sort)
 
 
-def insider_buying_activity(insider_rollup: DataFrame, as_of) -> DataFrame:
+def insider_buying_activity(insider_rollup: DataFrame, as_of, sort: bool = True) -> DataFrame:
     return (snapshot(insider_rollup, as_of)
             .select(F.col("symbol").alias("ticker"), "relationship", "amount", "count",
                     F.col("trans_date").cast("date").alias("trans_date"))
             .distinct()
-            .orderBy(F.col("ticker").asc_nulls_last(), F.col("amount").asc_nulls_last()))
+            .transform(lambda d: _ordered(d, [F.col("ticker").asc_nulls_last(), F.col("amount").asc_nulls_last()], sort)))
 
 
-def superinvestor_buying(insider_super: DataFrame, as_of) -> DataFrame:
+def superinvestor_buying(insider_super: DataFrame, as_of, sort: bool = True) -> DataFrame:
     return (snapshot(insider_super, as_of)
             .select("ticker", "count", "total_amount").distinct()
-            .orderBy(F.col("ticker").asc_nulls_last()))
+            .transform(lambda d: _ordered(d, [F.col("ticker").asc_nulls_last()], sort)))
 
 
-def custom_insider(screen_insider: DataFrame, as_of) -> DataFrame:
+def custom_insider(screen_insider: DataFrame, as_of, sort: bool = True) -> DataFrame:
     """Per ticker and filing day, the summed insider value.  Sum happens
     before ``distinct`` (as in the source query), so the input must already
     be de-duplicated per snapshot -- the snapshot writer overwrites a day's
@@ -77,25 +83,25 @@ def custom_insider(screen_insider: DataFrame, as_of) -> DataFrame:
             .groupBy("ticker", F.col("date_filling").cast("date").alias("date_filling"))
             .agg(F.sum(F.col("total_value").try_cast("bigint")).alias("total_value"))
             .distinct()
-            .orderBy(F.col("ticker").asc_nulls_last(), F.col("date_filling").asc_nulls_last()))
+            .transform(lambda d: _ordered(d, [F.col("ticker").asc_nulls_last(), F.col("date_filling").asc_nulls_last()], sort)))
 
 
-def screen_bigbets(bigbets: DataFrame, as_of) -> DataFrame:
+def screen_bigbets(bigbets: DataFrame, as_of, sort: bool = True) -> DataFrame:
     return (snapshot(bigbets, as_of).select("ticker", "percent_owned", "count").distinct()
-            .orderBy(F.col("ticker").asc_nulls_last()))
+            .transform(lambda d: _ordered(d, [F.col("ticker").asc_nulls_last()], sort)))
 
 
-def week52_lows(lows: DataFrame, as_of) -> DataFrame:
+def week52_lows(lows: DataFrame, as_of, sort: bool = True) -> DataFrame:
     return (snapshot(lows, as_of).select("ticker", "percent_owned").distinct()
-            .orderBy(F.col("ticker").asc_nulls_last()))
+            .transform(lambda d: _ordered(d, [F.col("ticker").asc_nulls_last()], sort)))
 
 
-def custom_screen(finviz: DataFrame, as_of) -> DataFrame:
+def custom_screen(finviz: DataFrame, as_of, sort: bool = True) -> DataFrame:
     return (snapshot(finviz, as_of)
             .select("ticker", "sector", "industry", "market_cap", "pe").distinct()
-            .orderBy(F.col("ticker").asc_nulls_last()))
+            .transform(lambda d: _ordered(d, [F.col("ticker").asc_nulls_last()], sort)))
 
 
-def magic_screen(magic: DataFrame, as_of) -> DataFrame:
+def magic_screen(magic: DataFrame, as_of, sort: bool = True) -> DataFrame:
     return (snapshot(magic, as_of).select("ticker", "market_cap").distinct()
-            .orderBy(F.col("ticker").asc_nulls_last()))
+            .transform(lambda d: _ordered(d, [F.col("ticker").asc_nulls_last()], sort)))

@@ -12,16 +12,21 @@ from .catalog import query
 D = f"date '{AS_OF_ORDERS}'"
 
 
-@query("q_13f_weights", with_fixtures(["fx_sec_13f", "fx_cusip_map"], f"""
+WEIGHTS_CTE = f"""
 , pairs as (
   select cm.ticker, s.fund_name, max(s.prn_amt) as mx
   from fx_sec_13f s join fx_cusip_map cm on s.cusip = cm.cusip
   where s.trans_date > {D} - 60 and s.date_insert = {D}
   group by cm.ticker, s.fund_name)
 , named as (select ticker, {duck.fund_name('fund_name')} as fund_name, mx from pairs)
-select ticker, fund_name,
-       cast(round(mx * 100.0 / sum(mx) over (partition by fund_name), 4) as double) as weight
-from named"""))
+, weights as (
+  select ticker, fund_name,
+         cast(round(mx * 100.0 / sum(mx) over (partition by fund_name), 4) as double) as weight
+  from named)
+"""
+
+
+@query("q_13f_weights", with_fixtures(["fx_sec_13f", "fx_cusip_map"], WEIGHTS_CTE + "select * from weights"))
 def q_13f_weights(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return S.thirteen_f_weights(fixture(spark, t, "fx_sec_13f"), fixture(spark, t, "fx_cusip_map"), AS_OF_ORDERS)

@@ -237,3 +237,28 @@ def clean_holdings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = parse_holdings(raw)
     good, bad = quarantine(parsed, "ok")
     return good.dropDuplicates(), bad
+
+
+# ---------------------------------------------------------------- typed inputs
+
+def clean_insider_typed(typed: DataFrame) -> DataFrame:
+    """Same cleaning as ``clean_insider`` for trades that arrive already
+    typed (dates and numbers parsed)."""
+    return (typed.where(F.col("symbol") != "")
+            .select("symbol", "security", "reporting_name",
+                    abbreviate_relationship(F.col("relationship")).alias("relationship"),
+                    "trans_date",
+                    F.replace(F.col("purchase_sale"), F.lit("Purchase"), F.lit("Buy")).alias("purchase_sale"),
+                    "price", F.col("amount").cast("bigint").alias("amount"),
+                    F.col("shares").cast("bigint").alias("shares"), "di",
+                    F.lit(1).alias("count"), "date_insert"))
+
+
+def home_insider_typed(typed: DataFrame) -> DataFrame:
+    """Home insider rows with ISO text dates -> the screen_insider table."""
+    return (typed.select("date_insert", dash_part("company", 0).alias("ticker"),
+                         dash_part("company", 1).alias("company"),
+                         F.col("date_filling").cast("date").alias("date_filling"),
+                         parse_count("total_value").alias("total_value"), "price")
+            .groupBy("date_insert", "ticker", "date_filling", "company", "price")
+            .agg(F.sum("total_value").alias("total_value")))
