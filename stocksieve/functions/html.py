@@ -16,8 +16,19 @@ from .text import ColumnOrName, _c, strip_ws
 _NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
 
+def _has_any(x: Column, needles: list[str]) -> Column:
+    out = F.lit(False)
+    for n in needles:
+        out = out | x.contains(n)
+    return out
+
+
 def strip_noise(html: ColumnOrName) -> Column:
-    return F.regexp_replace(_c(html), _NOISE, "")
+    """Drop scripts, styles and comments.  The regex only runs on bodies
+    that contain one of them (a plain substring test first)."""
+    h = _c(html)
+    risky = _has_any(h, ["<script", "<SCRIPT", "<Script", "<style", "<STYLE", "<Style", "<!--"])
+    return F.when(risky, F.regexp_replace(h, _NOISE, "")).otherwise(h)
 
 
 def _inner(tag: str) -> str:
@@ -57,16 +68,20 @@ def rows(table: ColumnOrName) -> Column:
 
 
 def unescape(s: ColumnOrName) -> Column:
-    out = _c(s)
+    src = _c(s)
+    out = src
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&nbsp;", " "), ("&amp;", "&")):
+                    ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    return F.when(src.contains("&"), out).otherwise(src)
 
 
 def cell_text(raw: ColumnOrName) -> Column:
-    """Visible text of a cell: tags removed, entities decoded, stripped."""
-    return strip_ws(unescape(F.regexp_replace(_c(raw), r"(?s)<[^>]*>", "")))
+    """Visible text of a cell: tags removed, entities decoded, stripped
+    (each step skipped when the cell has nothing for it to do)."""
+    r = _c(raw)
+    no_tags = F.when(r.contains("<"), F.regexp_replace(r, r"(?s)<[^>]*>", "")).otherwise(r)
+    return strip_ws(unescape(no_tags))
 
 
 def cells(row: ColumnOrName, tag: str = "td") -> Column:

@@ -56,10 +56,11 @@ def conform(df: DataFrame, schema: T.StructType, keep_extra: bool = False) -> Da
     cols = []
     for f in schema.fields:
         src = by_lower.get(f.name.lower())
-        cols.append((F.col(src).cast(f.dataType) if src else F.lit(None).cast(f.dataType)).alias(f.name))
+        ref = F.col(f"`{src}`") if src else None
+        cols.append((ref.cast(f.dataType) if src else F.lit(None).cast(f.dataType)).alias(f.name))
     if keep_extra:
         wanted = {f.name.lower() for f in schema.fields}
-        cols += [F.col(c) for c in df.columns if c.lower() not in wanted]
+        cols += [F.col(f"`{c}`") for c in df.columns if c.lower() not in wanted]
     return df.select(*cols)
 
 

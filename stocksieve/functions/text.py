@@ -45,15 +45,20 @@ def pg_left(s: ColumnOrName, n: Column | int) -> Column:
     return s.substr(F.lit(1), keep)
 
 
+# Every character Python's str.strip() removes (derived, not listed).
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def strip_ws(s: ColumnOrName) -> Column:
     """Python ``str.strip()``: leading/trailing whitespace of any kind
-    (Spark ``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(s), r"^\s+|\s+$", "")
+    (Spark ``trim`` only removes spaces).  ``btrim`` with a character set
+    is a plain scan, several times cheaper than a regex replace."""
+    return F.btrim(_c(s), F.lit(WHITESPACE))
 
 
 def one_line(s: ColumnOrName) -> Column:
     """Newlines to spaces (cells are written one line each)."""
-    return F.regexp_replace(_c(s), r"\r?\n", " ")
+    return F.translate(_c(s), "\n", " ")
 
 
 def parse_count(s: ColumnOrName) -> Column:

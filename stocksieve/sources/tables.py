@@ -19,10 +19,30 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+# Tables whose size grows with the data (the rest are small dimensions).
+FACT_TABLES = {"lineitem", "orders", "events", "documents", "pages", "conversations"}
+
+
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Give row-local work at least one task per core.
+
+    A scan yields one partition per file split; a small file with a single
+    row group is one task however many cores there are.  When the scan has
+    fewer partitions than the default parallelism, a round-robin
+    repartition spreads it (filters and column pruning still reach the
+    scan: both are pushed below the repartition).  On a cluster reading
+    many splits the condition is false and the plan is untouched."""
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in DRIVER_TABLES:
         raise KeyError(f"unknown driver table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark, df) if name in FACT_TABLES else df
 
 
 class Tables:
