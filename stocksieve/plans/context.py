@@ -115,10 +115,20 @@ from fx_history
 where date_insert = date '{AS_OF_EVENTS}' and date > date '{AS_OF_EVENTS}' - 1000
   and symbol in (select ticker from top)"""))
 def q_mentioned_fundamentals(spark, sf_dir):
-    top = C.top_candidates(C.consensus(screens(spark, sf_dir)), 15)
-    # the report stage's answer: a comma list of the chosen tickers
-    response = top.agg(F.array_join(F.array_sort(F.collect_list("ticker")), ", ").alias("text"))
-    tickers = X.ticker_list(response)
+    """Report stage boundary: the prompts are written out as a table, the
+    model's answer (a comma list of tickers) comes back as a text file;
+    its tickers select the fundamentals to fetch."""
+    from ..session import shared_path
+    base = shared_path(spark, "reports", unique=True)
+    sc = screens(spark, sf_dir)
+    X.write_texts(X.assemble_prompts(sections(spark, sf_dir), X.prompt_layout(spark), AS_OF_ORDERS),
+                  f"{base}/prompts", "prompt_name", "prompt_text")
+    top = C.top_candidates(C.consensus(sc), 15)
+    # stand-in for the model's answer: the ranked list as one comma text
+    answer = top.agg(F.array_join(F.array_sort(F.collect_list("ticker")), ", ").alias("value"))
+    answer.coalesce(1).write.mode("overwrite").text(f"{base}/response_list")
+    response = spark.read.text(f"{base}/response_list", wholetext=True)
+    tickers = X.ticker_list(response, "value")
     history = FU.price_history(fixture(spark, sf_dir, "fx_history"), AS_OF_EVENTS)
     return history.join(F.broadcast(tickers), history["symbol"] == tickers["ticker"], "left_semi")
 

@@ -262,3 +262,11 @@ def home_insider_typed(typed: DataFrame) -> DataFrame:
                          parse_count("total_value").alias("total_value"), "price")
             .groupBy("date_insert", "ticker", "date_filling", "company", "price")
             .agg(F.sum("total_value").alias("total_value")))
+
+
+def parse_info_table(docs: DataFrame, header_rows: int = 3) -> DataFrame:
+    """Information-table documents -> landed cell rows: the first table
+    whose summary attribute marks the holdings table, the three header
+    rows skipped, cell texts in order (12 or 13 per row)."""
+    table = H.table_with_attr("html", "summary", INFO_TABLE_SUMMARY)
+    return table_rows(docs, table, ["fund_name", "filing_date", "date_insert"], skip_header=header_rows)

@@ -228,3 +228,27 @@ def metadata_docs(fx_metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
     history_docs = fx_metadata.select(doc_id, "symbol", "date_insert", F.to_json(hist).alias("body"))
     info_docs = fx_metadata.select(doc_id, "symbol", F.to_json(info).alias("body"))
     return history_docs, info_docs
+
+
+def info_table_pages(fx_sec_13f: DataFrame, rows_per_page: int = 200) -> DataFrame:
+    """13F information-table documents: one table with the header-summary
+    attribute, three header rows, then one row of 12 or 13 cells per
+    holding (a document has one width).  Keyed by fund and filing date."""
+    cells = holdings_cells(fx_sec_13f)
+    buckets = buckets_for(fx_sec_13f, rows_per_page)
+    width = F.size("cells")
+    row = F.concat(F.lit("<tr>"), F.array_join(F.transform(
+        "cells", lambda c: F.concat(F.lit("<td>"), F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")),
+                                                               F.lit("<"), F.lit("&lt;")), F.lit("</td>"))), ""),
+        F.lit("</tr>"))
+    rows = cells.select("fund_name", "filing_date", "date_insert", width.alias("width"),
+                        F.pmod(F.xxhash64(F.to_json("cells")), F.lit(buckets)).alias("page"), row.alias("row_html"))
+    pages = _pages(rows, ["fund_name", "filing_date", "date_insert", "width", "page"])
+    head = ("<tr><td>COLUMN 1</td><td>COLUMN 2</td></tr>"
+            "<tr><td>NAME OF ISSUER</td><td>TITLE OF CLASS</td><td>CUSIP</td></tr>"
+            "<tr><td>(x$1000)</td><td>PRN AMT</td></tr>")
+    cover = '<table summary="Form 13F-NT Cover Information"><tr><td>cover</td></tr></table>'
+    html = F.concat(F.lit("<html><body>" + cover),
+                    F.lit(f'<table border="0" summary="{INFO_TABLE_SUMMARY}">{head}'), F.col("rows_html"),
+                    F.lit("</table></body></html>"))
+    return pages.select("fund_name", "filing_date", "date_insert", html.alias("html"))
