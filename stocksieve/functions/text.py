@@ -78,13 +78,13 @@ def dash_part(s: ColumnOrName, i: int, whole_tail: bool = False) -> Column:
     (a company name that itself contains a hyphen stays whole)."""
     s = _c(s)
     if whole_tail and i == 1:
-        return F.trim(F.get(F.split(s, "-", 2), 1))
-    return F.trim(F.get(F.split(s, "-"), i))
+        return strip_ws(F.get(F.split(s, "-", 2), 1))
+    return strip_ws(F.get(F.split(s, "-"), i))
 
 
 def comma_items(s: ColumnOrName) -> Column:
     """``'a, b,c'`` -> ``['a','b','c']`` (trimmed, empties dropped)."""
-    return F.filter(F.transform(F.split(_c(s), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(_c(s), ","), strip_ws), lambda x: x != "")
 
 
 def join_list(arr: ColumnOrName, sep: str = ",") -> Column:

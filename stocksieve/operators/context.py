@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.dates import as_date
+from ..functions.text import strip_ws
 
 DEFAULT_ROWS = 60
 
@@ -105,4 +106,4 @@ def ticker_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def ticker_list(response: DataFrame, text_col: str = "text") -> DataFrame:
     """A comma list answer (``'AAA, BBB,CCC'``) -> one ticker per row."""
     return (response.select(F.explode(F.split(F.col(text_col), ",")).alias("t"))
-            .select(F.trim("t").alias("ticker")).where(F.col("ticker") != "").distinct())
+            .select(strip_ws("t").alias("ticker")).where(F.col("ticker") != "").distinct())

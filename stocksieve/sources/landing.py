@@ -5,7 +5,8 @@ information tables fetched elsewhere and landed as text.  These renderers
 produce such landing tables from the fixture views, so the parsers in
 ``ingest`` can be checked by round trip against the typed fixture (the
 oracle side).  Pages hold a bounded slice of rows: the page key is a hash
-bucket inside each snapshot day, never a whole table in one row.
+bucket whose count is derived from a row count, never a whole table in one
+row.
 """
 
 from __future__ import annotations
@@ -235,7 +236,10 @@ def info_table_pages(fx_sec_13f: DataFrame, rows_per_page: int = 200) -> DataFra
     attribute, three header rows, then one row of 12 or 13 cells per
     holding (a document has one width).  Keyed by fund and filing date."""
     cells = holdings_cells(fx_sec_13f)
-    buckets = buckets_for(fx_sec_13f, rows_per_page)
+    # buckets per filing: rows / (rows_per_page * number of filings)
+    stats = fx_sec_13f.agg(F.count("*").alias("n"),
+                           F.count_distinct("fund_name", "trans_date", "date_insert").alias("k")).first()
+    buckets = max(1, -(-stats["n"] // (rows_per_page * max(stats["k"], 1))))
     width = F.size("cells")
     row = F.concat(F.lit("<tr>"), F.array_join(F.transform(
         "cells", lambda c: F.concat(F.lit("<td>"), F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")),

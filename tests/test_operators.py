@@ -126,7 +126,7 @@ def test_sections_are_bounded_and_ordered(spark):
 def test_ticker_mentions_and_list(spark):
     docs = spark.createDataFrame([(1, "Buy AAPL and MSFT; AAPL again. Not TOOLONG or x."), (2, None)], "doc_id long, text string")
     assert sorted(rows(X.ticker_mentions(docs))) == [(1, "AAPL", 2), (1, "MSFT", 1)]
-    resp = spark.createDataFrame([("AAPL, MSFT,, AAPL",)], "text string")
+    resp = spark.createDataFrame([("AAPL, MSFT,, AAPL\n",)], "text string")
     assert sorted(rows(X.ticker_list(resp))) == [("AAPL",), ("MSFT",)]
 
 
