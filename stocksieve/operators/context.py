@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.dates import as_date
 from ..functions.text import strip_ws
@@ -33,17 +32,42 @@ def render_line(df: DataFrame, columns: list[str]) -> Column:
     return F.concat_ws(" | ", *[_cell(df, c) for c in columns])
 
 
-def render_section(df: DataFrame, name: str, columns: list[str], order: list[Column],
+OrderSpec = list[tuple[str, bool]]  # (column, descending); nulls always last
+
+
+def _compare(keys: OrderSpec):
+    """Comparator for ``array_sort`` implementing ORDER BY ``keys`` with
+    nulls last, ties broken by the next key."""
+    def cmp(a, b):
+        out = F.lit(0)
+        for name, desc in reversed(keys):
+            x, y = a[name], b[name]
+            lt, gt = (F.lit(1), F.lit(-1)) if desc else (F.lit(-1), F.lit(1))
+            out = (F.when(x.isNull() & y.isNull(), out)
+                   .when(x.isNull(), F.lit(1)).when(y.isNull(), F.lit(-1))
+                   .when(x < y, lt).when(x > y, gt).otherwise(out))
+        return out
+    return cmp
+
+
+def render_section(df: DataFrame, name: str, columns: list[str], order: OrderSpec,
                    n: int = DEFAULT_ROWS) -> DataFrame:
     """One row ``(section, n_rows, n_shown, text)``: a header line, then
-    the first ``n`` rows in ``order`` (the rendered line breaks ties)."""
+    the first ``n`` rows in ``order`` (the rendered line breaks ties).
+
+    The top ``n`` come from ``orderBy().limit(n)`` (per-partition top-k,
+    then a merge of at most ``n`` rows per partition); those ``n`` rows are
+    gathered and ordered inside one array, so no step ever sees more than
+    ``n`` rows per partition."""
+    keys = [c for c, _ in order]
+    spec = [*order, ("line", False)]
+    sort_cols = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in spec]
     lines = df.select(*columns, render_line(df, columns).alias("line"))
-    top = lines.orderBy(*order, F.col("line").asc()).limit(n)
-    # the window below only ever sees the n rows kept by the top-k
-    ranked = top.withColumn("rn", F.row_number().over(Window.orderBy(*order, F.col("line").asc())))
-    body = ranked.agg(F.count("*").alias("n_shown"),
-                      F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))),
-                                               lambda x: x["line"]), "\n").alias("rows"))
+    top = lines.orderBy(*sort_cols).limit(n)
+    picked = F.collect_list(F.struct(*[F.col(c) for c in dict.fromkeys([*keys, "line"])]))
+    body = top.agg(F.count("*").alias("n_shown"),
+                   F.array_join(F.transform(F.array_sort(picked, _compare(spec)), lambda x: x["line"]),
+                                "\n").alias("rows"))
     total = df.agg(F.count("*").alias("n_rows"))
     header = " | ".join(columns)
     both = total.withColumn("section", F.lit(name)).join(body.withColumn("section", F.lit(name)), "section")

@@ -31,17 +31,13 @@ SECTIONS = {
 DOUBLE_COLS = {"weight"}
 
 
-def _spark_order(order):
-    return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in order]
-
-
 def sections(spark, sf_dir):
     sc = screens(spark, sf_dir)
     mapping = C.fund_mapping(sc["13f"])
     src = {"q1": sc["insider"], "q2": sc["superinvestor"], "q3": sc["custom_insider"], "q5": sc["week_low"],
            "q6": C.encode_funds(sc["13f"], mapping), "mapping": mapping, "q7": sc["custom_screen"],
            "q8": sc["magic"]}
-    parts = [X.render_section(src[s], name, cols, _spark_order(order), N)
+    parts = [X.render_section(src[s], name, cols, [(c, bool(d)) for c, d in order], N)
              for name, (s, cols, order) in SECTIONS.items()]
     return X.union_sections(parts)
 

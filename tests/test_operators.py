@@ -116,10 +116,10 @@ def test_adhoc_guard_rails(spark):
 
 def test_sections_are_bounded_and_ordered(spark):
     df = spark.createDataFrame([(f"T{i:03d}", float(i)) for i in range(100)], "ticker string, weight double")
-    sec = X.render_section(df, "s", ["ticker", "weight"], [F.col("weight").desc_nulls_last()], n=3).first()
+    sec = X.render_section(df, "s", ["ticker", "weight"], [("weight", True)], n=3).first()
     assert sec.n_rows == 100 and sec.n_shown == 3
     assert sec.text == "ticker | weight\nT099 | 99.0000\nT098 | 98.0000\nT097 | 97.0000"
-    empty = X.render_section(df.where("weight < 0"), "e", ["ticker"], [F.col("ticker")], n=3).first()
+    empty = X.render_section(df.where("weight < 0"), "e", ["ticker"], [("ticker", False)], n=3).first()
     assert empty.n_rows == 0 and empty.text == "ticker\n"
 
 
@@ -140,3 +140,11 @@ def test_statement_pivot_and_unpivot(spark):
     assert got == {"annual": (3.0, None), "quarterly": (None, 5.0)}
     assert sorted(rows(FU.statement_long(wide, ["total_debt", "total_assets"]), "freq", "line_item")) == [
         ("annual", "total_debt"), ("quarterly", "total_assets")]
+
+
+def test_store_read_with_explicit_schema(spark, tmp_dir):
+    store = SnapshotStore(spark, tmp_dir)
+    store.append("t", spark.createDataFrame([(1, "a")], "id int, name string"), "2024-01-01")
+    store.append("t", spark.createDataFrame([(2, "b", 3.5)], "id int, name string, extra double"), "2024-01-02")
+    df = store.read("t", "2024-01-01", schema="id int, name string, extra double, date_insert date")
+    assert rows(df) == [(1, "a", None, D.replace(month=1, day=1))]
