@@ -197,7 +197,8 @@ def info_table_url(index_pages: DataFrame, base: str = "https://www.sec.gov") ->
     """Link of the row mentioning "information table" in the ``tableFile``
     table of each filing index page; null when the row or table is absent."""
     rows = H.rows(H.table_with_class("html", "tableFile"))
-    hit = F.filter(rows, lambda r: F.lower(r).contains("information table"))
+    # match on the row's visible text (markup and attribute values excluded)
+    hit = F.filter(rows, lambda r: F.lower(H.cell_text(r)).contains("information table"))
     href = F.regexp_extract(F.get(hit, 0), r'<a\s+href="([^"]*)"', 1)
     url = F.when(F.get(hit, 0).isNotNull(), F.concat(F.lit(base), href))
     return index_pages.select("cik", "accession_number", url.alias("url"))

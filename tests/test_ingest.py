@@ -111,3 +111,12 @@ def test_metadata_flatten_drop_and_optional_keys(spark):
     r = meta.first()
     assert r["fullexchangename"] == "NasdaqGS" and r["industry"] == "Steel" and r["website"] is None
     assert "currenttradingperiod.regular.start" not in meta.columns and "validranges" not in meta.columns
+
+
+def test_info_url_ignores_markup(spark):
+    html = ('<table class="tableFile"><tr><th>Seq</th></tr>'
+            '<tr><td><a href="/a.xml" title="information table">a.xml</a></td><td>COVER</td></tr>'
+            '<tr><td>2</td><td>INFORMATION  TABLE</td><td><a href="/b.xml">b.xml</a></td></tr>'
+            '<tr><td>3</td><td>Information table</td><td><a href="/c.xml">c.xml</a></td></tr></table>')
+    pages = spark.createDataFrame([("1", "2", html)], "cik string, accession_number string, html string")
+    assert I.info_table_url(pages).first()["url"] == "https://www.sec.gov/c.xml"
