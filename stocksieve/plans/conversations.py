@@ -28,7 +28,7 @@ def q_with_system_prompt(spark, sf_dir):
 
 @query("q_transcripts", f"""
 select conv_id, cast(floor(turn / {CV.PAGE_SIZE}) as integer) as page, count(*) as n_messages,
-       to_json(list({{'role': role, 'content': text}} order by turn)) as messages
+       cast(to_json(list({{'role': role, 'content': text}} order by turn)) as varchar) as messages
 from conversations group by conv_id, floor(turn / {CV.PAGE_SIZE})""")
 def q_transcripts(spark, sf_dir):
     return CV.transcripts(Tables(spark, sf_dir).conversations)
