@@ -49,6 +49,9 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(s_cols) == sorted(o_cols)
     assert len(s_rows) == len(o_rows)
     assert canon(s_cols, s_rows) == canon(o_cols, o_rows)
+    types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+    o_types = {d[0]: str(d[1]) for d in cur.description}
+    assert {c: types.get(t, t) for c, t in df.dtypes} == o_types
 
 
 def test_entry_smoke(spark):
