@@ -246,7 +246,7 @@ def info_table_pages(fx_sec_13f: DataFrame, rows_per_page: int = 200) -> DataFra
                                                                F.lit("<"), F.lit("&lt;")), F.lit("</td>"))), ""),
         F.lit("</tr>"))
     rows = cells.select("fund_name", "filing_date", "date_insert", width.alias("width"),
-                        F.pmod(F.xxhash64(F.to_json("cells")), F.lit(buckets)).alias("page"), row.alias("row_html"))
+                        F.pmod(F.xxhash64("cells"), F.lit(buckets)).alias("page"), row.alias("row_html"))
     pages = _pages(rows, ["fund_name", "filing_date", "date_insert", "width", "page"])
     head = ("<tr><td>COLUMN 1</td><td>COLUMN 2</td></tr>"
             "<tr><td>NAME OF ISSUER</td><td>TITLE OF CLASS</td><td>CUSIP</td></tr>"
