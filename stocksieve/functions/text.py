@@ -63,12 +63,12 @@ def one_line(s: ColumnOrName) -> Column:
 
 def parse_count(s: ColumnOrName) -> Column:
     """``'1,234'`` -> 1234 as bigint; anything unparsable -> null."""
-    return F.regexp_replace(_c(s), ",", "").try_cast("bigint")
+    return F.replace(_c(s), F.lit(","), F.lit("")).try_cast("bigint")
 
 
 def parse_number(s: ColumnOrName) -> Column:
     """Coercing numeric parse that also accepts ``'123.0'`` text."""
-    s = F.regexp_replace(_c(s), ",", "")
+    s = F.replace(_c(s), F.lit(","), F.lit(""))
     return F.coalesce(s.try_cast("bigint"), s.try_cast("double").try_cast("bigint"))
 
 
