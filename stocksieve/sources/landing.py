@@ -85,7 +85,13 @@ def home_pages(fx_home_insider: DataFrame, fx_bigbets: DataFrame, fx_lows: DataF
     1 filler, 2 big bets, 3 52-week lows, 4 super-investor buys.  Company
     cells read ``TICK - Name``."""
     day = F.col("date_insert")
-    buckets = max(buckets_for(d, rows_per_page) for d in (fx_home_insider, fx_bigbets, fx_lows, fx_super))
+    # one job counts all four sources; the largest sets the page count
+    tagged = [d.select(F.lit(i).alias("src")) for i, d in enumerate((fx_home_insider, fx_bigbets, fx_lows, fx_super))]
+    union = tagged[0]
+    for d in tagged[1:]:
+        union = union.unionByName(d)
+    largest = max([r["count"] for r in union.groupBy("src").count().collect()] or [0])
+    buckets = max(1, -(-largest // rows_per_page))
     home = fx_home_insider.select(
         "date_insert", page_bucket(["company", "date_filling", "total_value", "price"], buckets).alias("page"),
         render_row([
