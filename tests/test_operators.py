@@ -71,6 +71,7 @@ def test_prepare_for_write(spark):
     out = prepare_for_write(df)
     assert out.columns == ["tags", "v", "prn_amt", "my_col"]
     assert rows(out) == [("a,b", None, 12, 1)]
+    assert dict(out.dtypes)["my_col"] == "bigint"
 
 
 def test_consensus_and_top_k(spark):
@@ -146,5 +147,14 @@ def test_store_read_with_explicit_schema(spark, tmp_dir):
     store = SnapshotStore(spark, tmp_dir)
     store.append("t", spark.createDataFrame([(1, "a")], "id int, name string"), "2024-01-01")
     store.append("t", spark.createDataFrame([(2, "b", 3.5)], "id int, name string, extra double"), "2024-01-02")
-    df = store.read("t", "2024-01-01", schema="id int, name string, extra double, date_insert date")
+    df = store.read("t", "2024-01-01", schema="id bigint, name string, extra double, date_insert date")
     assert rows(df) == [(1, "a", None, D.replace(month=1, day=1))]
+
+
+def test_store_widens_types_across_days(spark, tmp_dir):
+    store = SnapshotStore(spark, tmp_dir)
+    store.append("w", spark.createDataFrame([(1, 1.5)], "n int, x float"), "2024-01-01")
+    store.append("w", spark.createDataFrame([(2**40, 2.25)], "n bigint, x double"), "2024-01-02")
+    df = store.read("w")
+    assert dict(df.dtypes)["n"] == "bigint" and dict(df.dtypes)["x"] == "double"
+    assert sorted(rows(df, "n", "x")) == [(1, 1.5), (2**40, 2.25)]
