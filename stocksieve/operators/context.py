@@ -122,9 +122,11 @@ TICKER_TOKEN = r"^[A-Z]{2,5}$"
 def ticker_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Upper-case 2-5 letter tokens per document with their counts, over
     the whole text."""
-    tokens = docs.select(id_col, F.explode(F.split(F.col(text_col), "[^A-Za-z]+")).alias("ticker"))
-    return (tokens.where(F.col("ticker").rlike(TICKER_TOKEN))
-            .groupBy(id_col, "ticker").agg(F.count("*").alias("n_mentions")))
+    # keep only ticker-shaped tokens inside the array, then explode: the
+    # intermediate rows are the mentions, not every word of every text
+    hits = F.filter(F.split(F.col(text_col), "[^A-Za-z]+"), lambda t: t.rlike(TICKER_TOKEN))
+    tokens = docs.select(id_col, F.explode(hits).alias("ticker"))
+    return tokens.groupBy(id_col, "ticker").agg(F.count("*").alias("n_mentions"))
 
 
 def ticker_list(response: DataFrame, text_col: str = "text") -> DataFrame:
