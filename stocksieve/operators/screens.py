@@ -82,7 +82,7 @@ def custom_insider(screen_insider: DataFrame, as_of, sort: bool = True) -> DataF
     return (snapshot(screen_insider, as_of)
             .groupBy("ticker", F.col("date_filling").cast("date").alias("date_filling"))
             .agg(F.sum(F.col("total_value").try_cast("bigint")).alias("total_value"))
-            .distinct()
+            # the source's DISTINCT is implied: group keys are in the output
             .transform(lambda d: _ordered(d, [F.col("ticker").asc_nulls_last(), F.col("date_filling").asc_nulls_last()], sort)))
 
 
