@@ -8,6 +8,8 @@ contain tag-like text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,13 +53,11 @@ def nth_table(html: ColumnOrName, ordinal: int) -> Column:
 
 def table_with_class(html: ColumnOrName, css_class: str) -> Column:
     """Body of the first table whose class attribute equals ``css_class``."""
-    import re
     pat = r'(?is)<table\b[^>]*class="' + re.escape(css_class) + r'"[^>]*>(.*?)</table>'
     return F.nullif(F.regexp_extract(strip_noise(html), pat, 1), F.lit(""))
 
 
 def table_with_attr(html: ColumnOrName, attr: str, value: str) -> Column:
-    import re
     pat = r'(?is)<table\b[^>]*' + re.escape(attr) + r'="' + re.escape(value) + r'"[^>]*>(.*?)</table>'
     return F.nullif(F.regexp_extract(strip_noise(html), pat, 1), F.lit(""))
 
@@ -95,7 +95,6 @@ def links(html: ColumnOrName) -> Column:
 
 
 def div_with_id(html: ColumnOrName, div_id: str) -> Column:
-    import re
     pat = r'(?is)<div\b[^>]*id="' + re.escape(div_id) + r'"[^>]*>(.*?)</div>'
     return F.regexp_extract(_c(html), pat, 1)
 

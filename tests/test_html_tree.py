@@ -1,4 +1,3 @@
-import datetime as dt
 
 from pyspark.sql import functions as F
 

@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from stocksieve.sources import ingest as I
 from stocksieve.sources import landing as L

@@ -1,7 +1,6 @@
 import datetime as dt
 import json
 
-from pyspark.sql import functions as F
 
 from stocksieve.operators import adhoc as A
 from stocksieve.operators import consensus as C
