@@ -32,7 +32,10 @@ DOUBLE_COLS = {"weight"}
 
 
 def sections(spark, sf_dir):
-    sc = screens(spark, sf_dir)
+    return sections_from(screens(spark, sf_dir))
+
+
+def sections_from(sc: dict):
     mapping = C.fund_mapping(sc["13f"])
     src = {"q1": sc["insider"], "q2": sc["superinvestor"], "q3": sc["custom_insider"], "q5": sc["week_low"],
            "q6": C.encode_funds(sc["13f"], mapping), "mapping": mapping, "q7": sc["custom_screen"],
@@ -115,9 +118,12 @@ def q_mentioned_fundamentals(spark, sf_dir):
     model's answer (a comma list of tickers) comes back as a text file;
     its tickers select the fundamentals to fetch."""
     from ..session import shared_path
+    from ..sources.snapshots import stage
     base = shared_path(spark, "reports", unique=True)
-    sc = screens(spark, sf_dir)
-    X.write_texts(X.assemble_prompts(sections(spark, sf_dir), X.prompt_layout(spark), AS_OF_ORDERS),
+    # the day's screen results are computed once and staged; prompts and
+    # ranking both read the staged tables
+    sc = {k: stage(spark, df, f"{base}/screens/{k}") for k, df in screens(spark, sf_dir).items()}
+    X.write_texts(X.assemble_prompts(sections_from(sc), X.prompt_layout(spark), AS_OF_ORDERS),
                   f"{base}/prompts", "prompt_name", "prompt_text")
     top = C.top_candidates(C.consensus(sc), 15)
     # stand-in for the model's answer: the ranked list as one comma text
