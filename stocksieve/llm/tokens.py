@@ -7,12 +7,14 @@
    as one posting list per (pre-token, block).
 2. The distinct pre-tokens of the corpus are counted once each: the BPE model
    says how many pieces one has.
-3. Postings join those counts on the pre-token; pieces * frequency is summed
-   by document.
+3. Postings are joined to those counts on the pre-token and pieces * frequency
+   is summed by document.
 
-A common pre-token has one posting row per block, not one per document, so no
-key gathers rows with the corpus beyond the number of blocks, and the sums go
-up to documents through a partial aggregation.
+Steps 2 and 3 share one shuffle: postings are dealt out and sorted by
+pre-token, so a task meets all postings of a pre-token together, counts its
+pieces once and applies them (a merge join whose right side is made on the
+spot).  A common pre-token has one posting row per block, not one per document,
+and the sums go up to documents through a partial aggregation.
 
 Special strings inside a text are one piece each, as the library does by
 default.  Cases: null or empty text has 0 bytes and 0 tokens; a null id or a
@@ -74,9 +76,9 @@ def chunks(text: str) -> list[str]:
     return [c for c in _SPACE.split(text) if c] if _ODD.search(text) else text.split()
 
 
-_POSTED = pa.schema([("pre_token", pa.string()), ("base", pa.int64()), ("rows", pa.binary()), ("freqs", pa.binary()),
-                     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("row", pa.int64())])
-_POSTED_DDL = "pre_token string, base long, rows binary, freqs binary, doc_id long, n_bytes long, row long"
+_POSTED = pa.schema([("pre_token", pa.string()), ("posting", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("row", pa.int64())])
+_POSTED_DDL = "pre_token string, posting binary, doc_id long, n_bytes long, row long"
+_MOST = 255  # a larger frequency is kept as several entries
 
 
 def _batch(size: int, **columns) -> pa.RecordBatch:
@@ -84,8 +86,9 @@ def _batch(size: int, **columns) -> pa.RecordBatch:
 
 
 def block_postings(base: int, texts: list[str], split: Splitter, known: dict):
-    """Posting rows of one block: ``(pre_token, base, rows, freqs)``, the rows
-    as two-byte places in the block."""
+    """Posting rows of one block: ``(pre_token, posting)``; a posting is the
+    block's first row (8 bytes), two-byte places in the block, one-byte
+    frequencies."""
     numbers: dict[str, int] = {}
     ids, at = [], []
     for k, t in enumerate(texts):
@@ -117,13 +120,18 @@ def block_postings(base: int, texts: list[str], split: Splitter, known: dict):
         return
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     n, key = np.add.reduceat(n, new), key[new]
+    times = -(-n // _MOST)  # entries of a pair
+    last = np.cumsum(times) - 1
+    key, n_left = np.repeat(key, times), n - (times - 1) * _MOST
+    n = np.full(len(key), _MOST)
+    n[last] = n_left
     bounds = np.searchsorted(key // len(texts), np.arange(len(pres) + 1))
-    rows, freqs = (key % len(texts)).astype("<u2").tobytes(), n.astype("<u4").tobytes()
+    head, rows, freqs = np.array([base], "<i8").tobytes(), (key % len(texts)).astype("<u2").tobytes(), n.astype("u1").tobytes()
     names = list(pres)
     for a in range(0, len(names), 20_000):
         part = range(a, min(a + 20_000, len(names)))
-        cut = lambda raw, w: pa.array([raw[w * bounds[k]:w * bounds[k + 1]] for k in part], pa.binary())
-        yield _batch(len(part), pre_token=pa.array(names[a:a + 20_000]), base=pa.array(np.full(len(part), base)), rows=cut(rows, 2), freqs=cut(freqs, 4))
+        packed = [head + rows[2 * bounds[k]:2 * bounds[k + 1]] + freqs[bounds[k]:bounds[k + 1]] for k in part]
+        yield _batch(len(part), pre_token=pa.array(names[a:a + 20_000]), posting=pa.array(packed, pa.binary()))
 
 
 def postings(path: str):
@@ -152,30 +160,29 @@ def postings(path: str):
     return post
 
 
-def piece_counts(path: str):
-    """``pre_token`` batches to ``(pre_token, pieces)``."""
-    def count(batches):
+def sums(path: str):
+    """Postings sorted by pre-token to sums of pieces by document row."""
+    def add(batches):
         model = load(path).model
+        last, pieces = None, 0
         for batch in batches:
-            names = batch.column("pre_token").to_pylist()
-            n = [1 if p.startswith(SPECIAL) else len(model.tokenize(p)) for p in names]
-            yield pa.RecordBatch.from_arrays([batch.column("pre_token"), pa.array(n, pa.int64())], ["pre_token", "pieces"])
-    return count
-
-
-def sums(batches):
-    """Postings with their piece counts to sums by document row of a batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows, freqs = batch.column("rows").to_pylist(), batch.column("freqs").to_pylist()
-        sizes = np.array([len(x) // 2 for x in rows])
-        row = np.frombuffer(b"".join(rows), "<u2").astype(np.int64) + np.repeat(batch.column("base").to_numpy(), sizes)
-        n = np.frombuffer(b"".join(freqs), "<u4").astype(np.int64) * np.repeat(batch.column("pieces").to_numpy(), sizes)
-        order = np.argsort(row, kind="stable")
-        row, n = row[order], n[order]
-        new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.array(np.add.reduceat(n, new))], ["row", "n"])
+            if not batch.num_rows:
+                continue
+            each = []
+            for p in batch.column("pre_token").to_pylist():
+                if p != last:
+                    last, pieces = p, 1 if p.startswith(SPECIAL) else len(model.tokenize(p))
+                each.append(pieces)
+            packed = batch.column("posting").to_pylist()
+            sizes = np.array([(len(x) - 8) // 3 for x in packed])
+            base = np.frombuffer(b"".join([x[:8] for x in packed]), "<i8")
+            row = np.frombuffer(b"".join([x[8:8 + 2 * k] for x, k in zip(packed, sizes.tolist())]), "<u2") + np.repeat(base, sizes)
+            n = np.frombuffer(b"".join([x[8 + 2 * k:] for x, k in zip(packed, sizes.tolist())]), "u1") * np.repeat(np.array(each, np.int64), sizes)
+            order = np.argsort(row, kind="stable")
+            row, n = row[order], n[order]
+            new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.array(np.add.reduceat(n, new))], ["row", "n"])
+    return add
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
@@ -187,10 +194,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
     path = shared_path(spark, "tokens", unique=True)
     numbered.mapInArrow(postings(tokenizer_path), _POSTED_DDL).write.option("compression", "zstd").parquet(path)
     posted = spark.read.schema(_POSTED_DDL).parquet(path)
-    per_block = posted.where(F.col("pre_token").isNotNull()).select("pre_token", "base", "rows", "freqs")
-    pieces = per_block.select("pre_token").distinct().mapInArrow(piece_counts(tokenizer_path), "pre_token string, pieces long")
-    joined = per_block.join(pieces, "pre_token").select("base", "rows", "freqs", "pieces")
-    total = joined.mapInArrow(sums, "row long, n long").groupBy("row").agg(F.sum("n").alias("n_tokens"))
+    together = posted.where(F.col("pre_token").isNotNull()).select("pre_token", "posting").repartition("pre_token").sortWithinPartitions("pre_token")
+    total = together.mapInArrow(sums(tokenizer_path), "row long, n long").groupBy("row").agg(F.sum("n").alias("n_tokens"))
     n = F.coalesce("n_tokens", F.lit(0)).cast("long")
     return (posted.where(F.col("pre_token").isNull()).select("doc_id", "n_bytes", "row").join(total, "row", "left")
             .select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit")))
