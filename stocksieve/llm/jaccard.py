@@ -282,8 +282,10 @@ def stars(classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, class_id)`` for every row."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """``(doc_id, cls, n, root, first_id, component_id)`` for every row: the
+    class of its set, the class that stands for its component, the smallest
+    ids of both (null where n is 0: such rows are in no class)."""
     spark = docs.sparkSession
     texts = docs.select("text")
     signed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -311,8 +313,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = components(links.unionByName(more))
     placed = classes.select("cls", "first_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    placed = placed.join(smallest, "root").select("cls", "first_id", "component_id")
-    return (signed.select("doc_id", "cls", "n").join(placed, "cls", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    F.when(F.col("n") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("class_id")))
+    placed = placed.join(smallest, "root").select("cls", "root", "first_id", "component_id")
+    return signed.select("doc_id", "cls", "n").join(placed, "cls", "left")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, class_id)`` for every row."""
+    own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id"))
+    return grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), own("component_id").alias("component_id"),
+                                own("first_id").alias("class_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all their columns) without near copies: of each
+    component the document of smallest id stays (a null id comes last), of its
+    repeated rows one; rows without words all stay."""
+    names = docs.columns
+    rows = staged(grouped(docs).where("n > 0"), "grouped")
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("m"))
+    chosen = chosen.select(F.col("m.doc_id").alias("id_kept"), F.col("m.cls").alias("cls_kept"))
+
+    def marked(batches):
+        for batch in batches:
+            cls = [class_hash(sets, bounds) for _, sets, bounds in _sets(pa.record_batch([batch.column("carried").field("text")], ["text"]))]
+            yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array(np.concatenate(cls) if cls else np.zeros(0, np.int64))], ["carried", "cls"])
+
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("carried"))
+    carried = carried.mapInArrow(marked, carried.schema.add("cls", "long"))
+    kept = carried.where("cls <> 0").join(chosen, (F.col("cls") == F.col("cls_kept")) & F.col("carried.doc_id").eqNullSafe(F.col("id_kept")), "left_semi")
+    kept = kept.groupBy("cls", F.col("carried.doc_id").alias("id")).agg(F.min("carried").alias("carried"))
+    every = kept.select("carried").unionByName(carried.where("cls = 0").select("carried"))
+    return every.select(*[F.col("carried")[c].alias(c) for c in names])

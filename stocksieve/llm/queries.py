@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import decontaminate, jaccard, langid, lines, mixing, ordinal, suffixes, tokens, toxicity, urlrules
 
 
@@ -66,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 MIX_SQL = r"""
