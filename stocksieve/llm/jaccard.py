@@ -34,9 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as X
-from .components import components, staged
+from .components import components, staged, with_field
 from .sketch import histogram
 
 SHINGLE = 5
@@ -339,7 +340,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array(np.concatenate(cls) if cls else np.zeros(0, np.int64))], ["carried", "cls"])
 
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("carried"))
-    carried = carried.mapInArrow(marked, carried.schema.add("cls", "long"))
+    carried = carried.mapInArrow(marked, with_field(carried.schema, "cls", T.LongType()))
     kept = carried.where("cls <> 0").join(chosen, (F.col("cls") == F.col("cls_kept")) & F.col("carried.doc_id").eqNullSafe(F.col("id_kept")), "left_semi")
     kept = kept.groupBy("cls", F.col("carried.doc_id").alias("id")).agg(F.min("carried").alias("carried"))
     every = kept.select("carried").unionByName(carried.where("cls = 0").select("carried"))
