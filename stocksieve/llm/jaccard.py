@@ -4,9 +4,11 @@ have 100 * intersection >= 75 * union, as classes and components.
 1. ``signatures``: each document's set size, the hash of its set (documents of
    one set are a class; only classes go on), a parity bitmap of the set and a
    few minima of the set under different orders.
-2. ``stars``: classes that share a minimum are held against the smallest class
-   with it.  That is one row a class and minimum, grouped by a partial minimum,
-   and ties large groups of near copies together before any pairs are looked at.
+2. ``stars``: classes that share a minimum are held against one of them, the
+   one whose minima are the most shared: of near copies of one text mostly that
+   text itself.  That is one row a class and minimum, grouped by a partial
+   maximum, and ties large groups of near copies together before any pairs are
+   looked at.
 3. ``runs``: classes that can be linked share one of the first
    ``n - ceil(0.75 n) + 1`` shingles of their sets in any common order.  The
    order puts shingles of crowded slots of a corpus-wide histogram last, then
@@ -15,11 +17,14 @@ have 100 * intersection >= 75 * union, as classes and components.
 4. ``tiles``: the classes of a shingle lie in order of size; each is held
    against those whose size is within the band that 0.75 allows, through the
    bitmaps: a bit that differs is a shingle that one of the two lacks, so
-   ``7 * differing bits <= n1 + n2`` must hold for a pair to be linked.
+   ``7 * differing bits <= n1 + n2`` must hold for a pair to be linked.  A
+   first pass over the tiles sends only as many passing pairs as would tie a
+   tile's classes together (fewer than its rows); what they tie is left out of
+   the second, which sends every pair that passes between components.
 5. Pairs that pass are intersected exactly (sorted arrays of 64-bit hashes).
 6. Components over the links; a document's is its smallest reachable doc_id.
 
-The bitmap of a set has about two bits a shingle; two sets of different width
+The bitmap of a set has four to eight bits a shingle; two sets of different width
 are compared at the smaller width, to which the larger folds by xor.
 
 Cases: documents without words have n_shingles 0 and are their own component;
@@ -55,7 +60,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 def width(n: int) -> int:
     """Bits of the bitmap of a set of n: a power of two."""
-    return min(1 << 16, max(64, 1 << int(2 * n - 1).bit_length()))
+    return min(1 << 17, max(64, 1 << int(4 * n - 1).bit_length()))
 
 
 def class_hash(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -188,9 +193,25 @@ def tile_pairs(cls: np.ndarray, n: np.ndarray, root: np.ndarray, maps: list[byte
                     yield i, k
 
 
-def _tiles(batches):
-    held = None
+def _forest(pairs, root: np.ndarray):
+    """Of the pairs those that join trees not joined before."""
+    up = {int(r): int(r) for r in root}
 
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, j in pairs:
+        x, y = top(int(root[i])), top(int(root[j]))
+        if x != y:
+            up[x] = y
+            yield i, j
+
+
+def _tiles(every: bool):
+    """Rows sorted by key and size to the pairs of classes that pass."""
     def pairs(table):
         key = table.column("key").to_numpy()
         cls, n, root = (table.column(c).to_numpy() for c in ("cls", "n", "root"))
@@ -198,25 +219,30 @@ def _tiles(batches):
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         found = set()
         for a, b in zip(start, [*start[1:], len(key)]):
-            for i, j in tile_pairs(cls[a:b], n[a:b], root[a:b], maps[a:b]):
+            passing = tile_pairs(cls[a:b], n[a:b], root[a:b], maps[a:b])
+            for i, j in passing if every else _forest(passing, root[a:b]):
                 x, y = int(cls[a + i]), int(cls[a + j])
                 found.add((min(x, y), max(x, y)))
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        if not table.num_rows:
-            continue
-        key = table.column("key").to_numpy()
-        before = np.flatnonzero(key != key[-1])  # the last key may go on in the next batch
-        cut = int(before[-1]) + 1 if len(before) else 0
-        if cut:
-            yield pairs(table.slice(0, cut))
-        held = table.slice(cut)
-    if held is not None and held.num_rows:
-        yield pairs(held)
+    def tiles(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            if not table.num_rows:
+                continue
+            key = table.column("key").to_numpy()
+            before = np.flatnonzero(key != key[-1])  # the last key may go on in the next batch
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if cut:
+                yield pairs(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None and held.num_rows:
+            yield pairs(held)
+
+    return tiles
 
 
 def _wanted_sets(shared):
@@ -273,16 +299,32 @@ def _bounded(batches):
 
 
 def stars(classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``: a class and the smallest class sharing a minimum."""
+    """Pairs ``(a, b)``: a class and, of those that share a minimum with it,
+    the one whose minima are the most shared."""
     each = classes.select("cls", F.posexplode("minima").alias("order", "least"))
-    centre = each.groupBy("order", "least").agg(F.min("cls").alias("centre"))
-    pairs = each.join(centre, ["order", "least"]).where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
+    shared = each.groupBy("order", "least").agg(F.count("*").alias("size")).where("size > 1")
+    each = staged(each.join(shared, ["order", "least"]), "minima")
+    known = staged(each.groupBy("cls").agg(F.sum("size").alias("known")), "known")
+    centre = each.join(known, "cls").groupBy("order", "least").agg(F.max(F.struct("known", "cls")).alias("m"))
+    centre = centre.select("order", "least", F.col("m.cls").alias("centre"))
+    pairs = each.join(centre, ["order", "least"]).where("cls <> centre")
+    pairs = pairs.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
     sized = classes.select("cls", "n", "bits")
     pairs = pairs.join(sized.toDF("a", "n_a", "bits_a"), "a").join(sized.toDF("b", "n_b", "bits_b"), "b")
     pairs = pairs.where((F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3))
     return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long")
 
 
+def _apart(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the shingles that different components share, with bitmaps,
+    sorted by shingle and size."""
+    rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    rooted = rooted.repartition("key").sortWithinPartitions("key", "cls")
+    apart = staged(rooted.mapInArrow(_shared_runs("root", ["key", "cls", "n", "root"]), "key long, cls long, n int, root long"), "runs-apart")
+    tiles = apart.join(classes.select("cls", "bits"), "cls").select("key", "cls", F.col("n").cast("long").alias("n"), "root", "bits")
+    return tiles.repartition("key").sortWithinPartitions("key", "n", "cls")
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """``(doc_id, cls, n, root, first_id, component_id)`` for every row: the
     class of its set, the class that stands for its component, the smallest
@@ -304,14 +346,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     keys = texts.mapInArrow(_prefixes(spark.sparkContext.broadcast(crowd)), "key long, cls long, n int")
     keys = keys.repartition("key").sortWithinPartitions("key", "cls")
     members = staged(keys.mapInArrow(_shared_runs("cls", ["key", "cls", "n"]), "key long, cls long, n int"), "runs")
-    rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    rooted = rooted.repartition("key").sortWithinPartitions("key", "cls")
-    apart = staged(rooted.mapInArrow(_shared_runs("root", ["key", "cls", "n", "root"]), "key long, cls long, n int, root long"), "runs-apart")
-    tiles = apart.join(classes.select("cls", "bits"), "cls").select("key", "cls", F.col("n").cast("long").alias("n"), "root", "bits")
-    tiles = tiles.repartition("key").sortWithinPartitions("key", "n", "cls")
-    more = verified(docs, staged(tiles.mapInArrow(_tiles, "a long, b long").distinct(), "tile-pairs"))
-
-    roots = components(links.unionByName(more))
+    for every in (False, True):
+        more = staged(_apart(members, classes, roots).mapInArrow(_tiles(every), "a long, b long").distinct(), "tile-pairs")
+        links = links.unionByName(verified(docs, more))
+        roots = components(links)
     placed = classes.select("cls", "first_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = placed.join(smallest, "root").select("cls", "root", "first_id", "component_id")
