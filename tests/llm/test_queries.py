@@ -1,0 +1,73 @@
+"""Registered queries on the smallest tables: against their SQL, and the
+pipeline against its parts."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from stocksieve.llm import queries
+
+from ..conftest import SMALL
+from .test_operators import brute_repeats
+
+TABLES = ("documents", "labels", "pages", "benchmark")
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
+    return c
+
+
+def canon(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(repr(tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order)) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_its_sql(spark, con, name):
+    df = queries.QUERIES[name](spark, SMALL)
+    got = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in got.description]
+    assert sorted(names) == sorted(df.columns)
+    assert canon(df.columns, map(tuple, df.collect())) == canon(names, got.fetchall())
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "repeats", "leaks", "mix"]
+
+
+def test_repeats_query_against_brute_force(spark, con):
+    rows = con.execute("select doc_id, text from documents").fetchall()
+    got = queries.QUERIES["op8_suffixes"](spark, SMALL).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_repeats(rows))
+
+
+def test_pipeline_stages_take_effect(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, count = docs.columns, docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if name != "mix":
+            assert out.columns == columns, name
+        if name in ("toxicity", "near_copies", "leaks"):
+            assert 0 < out.count() < count, name
+            assert out.join(docs, ["doc_id", "text"], "left_anti").count() == 0, name  # rows unchanged
+        if name == "repeats":
+            before, after = ({r.doc_id: r.text for r in d.collect()} for d in (docs, out))
+            assert set(before) == set(after)
+            expect = {e[0]: e[1] - e[2] for e in brute_repeats([(i, t) for i, t in before.items()])}
+            assert all(len(t.encode()) <= expect[i] for i, t in after.items())
+            assert sum(len(t) < len(before[i]) for i, t in after.items())
+        docs, count = out, out.count()
+    by = {}
+    for r in docs.collect():
+        assert r.taken <= 3 * r.size
+        by.setdefault(r.source, [r.target, 0, 0])
+        by[r.source][1] += r.taken
+        by[r.source][2] = max(by[r.source][2], r.size)
+    assert all(abs(t - got) <= 2 * most for t, got, most in by.values())
