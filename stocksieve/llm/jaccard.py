@@ -221,9 +221,9 @@ def _tiles(every: bool):
         for a, b in zip(start, [*start[1:], len(key)]):
             passing = tile_pairs(cls[a:b], n[a:b], root[a:b], maps[a:b])
             for i, j in passing if every else _forest(passing, root[a:b]):
-                x, y = int(cls[a + i]), int(cls[a + j])
-                found.add((min(x, y), max(x, y)))
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+                (x, r), (y, q) = sorted([(int(cls[a + i]), int(root[a + i])), (int(cls[a + j]), int(root[a + j]))])
+                found.add((x, y, min(r, q), max(r, q)))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(4)], ["a", "b", "low", "high"])
 
     def tiles(batches):
         held = None
@@ -288,31 +288,34 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _bounded(batches):
-    """Pairs with both bitmaps that the bound lets pass."""
+    """Pairs with both bitmaps that the bound lets pass, and how many bits
+    differ."""
     for batch in batches:
-        n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-        keep = []
-        for x, y, s in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), (n + m).tolist()):
-            w = 8 * min(len(x), len(y))
-            keep.append(7 * int(np.bitwise_count(_matrix([x], w) ^ _matrix([y], w)).sum()) <= s)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        apart = np.array([int(np.bitwise_count(_matrix([x], w) ^ _matrix([y], w)).sum())
+                          for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())
+                          for w in [8 * min(len(x), len(y))]], np.int64)
+        keep = 7 * apart <= batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("centre"), pa.array(apart)], ["cls", "centre", "apart"]).filter(pa.array(keep))
 
 
 def stars(classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``: a class and, of those that share a minimum with it,
-    the one whose minima are the most shared."""
+    """Pairs ``(a, b)``: a class and its star's centre.  The classes of a
+    minimum have as centre the one whose minima are the most shared; of a
+    class's centres the nearest by bitmaps is taken, so there are no more pairs
+    than classes."""
     each = classes.select("cls", F.posexplode("minima").alias("order", "least"))
     shared = each.groupBy("order", "least").agg(F.count("*").alias("size")).where("size > 1")
     each = staged(each.join(shared, ["order", "least"]), "minima")
     known = staged(each.groupBy("cls").agg(F.sum("size").alias("known")), "known")
     centre = each.join(known, "cls").groupBy("order", "least").agg(F.max(F.struct("known", "cls")).alias("m"))
     centre = centre.select("order", "least", F.col("m.cls").alias("centre"))
-    pairs = each.join(centre, ["order", "least"]).where("cls <> centre")
-    pairs = pairs.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+    pairs = each.join(centre, ["order", "least"]).where("cls <> centre").select("cls", "centre").distinct()
     sized = classes.select("cls", "n", "bits")
-    pairs = pairs.join(sized.toDF("a", "n_a", "bits_a"), "a").join(sized.toDF("b", "n_b", "bits_b"), "b")
+    pairs = pairs.join(sized.toDF("cls", "n_a", "bits_a"), "cls").join(sized.toDF("centre", "n_b", "bits_b"), "centre")
     pairs = pairs.where((F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3))
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long")
+    near = pairs.select("cls", "centre", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "cls long, centre long, apart long")
+    near = near.groupBy("cls").agg(F.min(F.struct("apart", "centre")).alias("m"))
+    return near.select(F.least("cls", "m.centre").alias("a"), F.greatest("cls", "m.centre").alias("b")).distinct()
 
 
 def _apart(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -347,7 +350,12 @@ def grouped(docs: DataFrame) -> DataFrame:
     keys = keys.repartition("key").sortWithinPartitions("key", "cls")
     members = staged(keys.mapInArrow(_shared_runs("cls", ["key", "cls", "n"]), "key long, cls long, n int"), "runs")
     for every in (False, True):
-        more = staged(_apart(members, classes, roots).mapInArrow(_tiles(every), "a long, b long").distinct(), "tile-pairs")
+        more = _apart(members, classes, roots).mapInArrow(_tiles(every), "a long, b long, low long, high long")
+        if every:
+            more = more.select("a", "b").distinct()
+        else:  # one pair for two components is enough to try
+            more = more.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b")
+        more = staged(more, "tile-pairs")
         links = links.unionByName(verified(docs, more))
         roots = components(links)
     placed = classes.select("cls", "first_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
