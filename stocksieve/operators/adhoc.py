@@ -2,13 +2,16 @@
 
 Questions are answered by SQL text (written by a person or a model) over
 read-only views of the snapshot tables, each already restricted to the
-``as_of`` snapshot.  The answer is ``{"result": [...rows...]}`` over at
-most ``limit`` rows, or ``{"error": "Invalid expression"}``.
+``as_of`` snapshot.  What may run is decided on the parsed plan, not on the
+text: one query, without commands, over registered views only, without a star.
+The answer is ``{"result": [...rows in the query's order...], "total": n,
+"truncated": ...}`` with at most ``limit`` rows, or ``{"error": ...}``; an error
+while the query runs is an error answer, too.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +20,63 @@ from .screens import snapshot
 
 MAX_ROWS = 100
 ERROR_JSON = '{"error":"Invalid expression"}'
-_STAR = re.compile(r"(?is)\bselect\s+(all\s+|distinct\s+)?\*|,\s*\*|\.\*")
-_WRITE = re.compile(r"(?is)^\s*(insert|update|delete|merge|create|drop|alter|truncate|set|reset|add|cache)\b")
+# nodes of a parsed plan that change something or read by path
+_REFUSED = ("Command", "Insert", "Create", "Drop", "Replace", "Merge", "Delete", "Update", "Truncate", "Alter", "Set",
+            "Cache", "Uncache", "Refresh", "Describe", "Show", "Explain", "Transform", "TableValuedFunction")
+_PLAIN_SET = ("SetOperation", "SetOperationStrategy")
 
 
-def check_sql(sql: str) -> str | None:
+def _each(seq) -> Iterator:
+    for i in range(seq.size()):
+        yield seq.apply(i)
+
+
+def _expressions(node) -> Iterator:
+    todo = list(_each(node.expressions()))
+    while todo:
+        e = todo.pop()
+        yield e
+        todo += list(_each(e.children()))
+
+
+def _nodes(plan) -> Iterator:
+    """Every node of a parsed plan, those of subqueries and CTEs included."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        name = node.getClass().getSimpleName()
+        todo += list(_each(node.children()))
+        if name == "UnresolvedWith":
+            todo += [pair._2() for pair in _each(node.cteRelations())]
+        todo += [e.plan() for e in _expressions(node) if hasattr(e, "plan") and _is_subquery(e)]
+
+
+def _is_subquery(e) -> bool:
+    return e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
+
+
+def check_sql(spark: SparkSession, sql: str, views: set[str]) -> str | None:
     """Reason the text is refused, or ``None``."""
-    if _STAR.search(sql):
-        return "star projection"
-    if _WRITE.search(sql) or ";" in sql.strip().rstrip(";"):
-        return "not a single read-only query"
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception:  # noqa: BLE001 - the parser's refusal
+        return "not a query"
+    nodes = list(_nodes(plan))
+    known = {v.lower() for v in views}
+    for node in nodes:
+        if node.getClass().getSimpleName() == "UnresolvedWith":
+            known |= {pair._1().lower() for pair in _each(node.cteRelations())}
+    for node in nodes:
+        name = node.getClass().getSimpleName()
+        if any(word in name for word in _REFUSED) and name not in _PLAIN_SET:
+            return f"not a read-only query: {name}"
+        if name == "UnresolvedRelation":
+            parts = list(_each(node.multipartIdentifier()))
+            if len(parts) != 1 or parts[0].lower() not in known:
+                return "not a registered view"
+        if any("Star" in e.getClass().getSimpleName() for e in _expressions(node)):
+            return "star projection"
     return None
 
 
@@ -36,19 +86,30 @@ def register_snapshot_views(spark: SparkSession, tables: dict[str, DataFrame], a
         snapshot(df, as_of).createOrReplaceTempView(name)
 
 
-def _error(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.lit(ERROR_JSON).alias("answer"))
+def _result(spark: SparkSession, sql: str, limit: int) -> str:
+    rows = spark.sql(sql)
+    if len({c.lower() for c in rows.columns}) < len(rows.columns):
+        raise ValueError("two columns of one name")
+    # the limited rows come in the query's order, in one small partition
+    first = rows.limit(limit).withColumn("__nth", F.monotonically_increasing_id())
+    records = F.transform(F.array_sort(F.collect_list(F.struct("__nth", F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")))),
+                          lambda r: r["row"])
+    total = rows.agg(F.count("*").alias("total")).first()["total"]
+    body = F.struct(records.alias("result"), F.lit(total).alias("total"), F.lit(total > limit).alias("truncated"))
+    return first.agg(F.to_json(body, {"ignoreNullFields": "false"}).alias("answer")).first()["answer"]
 
 
-def answer(spark: SparkSession, sql: str, limit: int = MAX_ROWS) -> DataFrame:
-    """One row ``answer`` holding the JSON result of ``sql``."""
-    if check_sql(sql) is not None:
-        return _error(spark)
-    try:
-        rows = spark.sql(sql.strip().rstrip(";")).limit(limit)
-        rows.schema  # analysis errors surface here
-    except Exception:  # noqa: BLE001 - any refusal is the error answer
-        return _error(spark)
-    records = F.array_sort(F.collect_list(F.struct(*rows.columns)))
-    return rows.agg(F.to_json(F.struct(records.alias("result")),
-                              {"ignoreNullFields": "false"}).alias("answer"))
+def answer(spark: SparkSession, sql: str, limit: int = MAX_ROWS, views: set[str] | None = None) -> DataFrame:
+    """One row ``answer`` holding the JSON result of ``sql`` over ``views``
+    (default: the session's temporary views).  The query runs here, for its
+    errors are part of the answer; what comes back has at most ``limit`` rows."""
+    sql = sql.strip().rstrip(";")
+    if views is None:
+        views = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    text = ERROR_JSON
+    if check_sql(spark, sql, views) is None:
+        try:
+            text = _result(spark, sql, limit)
+        except Exception:  # noqa: BLE001 - any refusal is the error answer
+            text = ERROR_JSON
+    return spark.range(1).select(F.lit(text).alias("answer"))

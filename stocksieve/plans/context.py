@@ -140,7 +140,9 @@ ADHOC_SQL = "SELECT ticker, percent_owned FROM dataroma_low ORDER BY ticker, per
 
 @query("q_adhoc_json", with_fixtures(["fx_lows"], f"""
 select cast(to_json({{'result': coalesce(list({{'ticker': ticker, 'percent_owned': percent_owned}}
-                                              order by ticker, percent_owned), [])}}) as varchar) as answer
+                                              order by ticker, percent_owned), []),
+                     'total': (select count(*) from fx_lows where date_insert = {D}),
+                     'truncated': (select count(*) > 100 from fx_lows where date_insert = {D})}}) as varchar) as answer
 from (select ticker, percent_owned from fx_lows where date_insert = {D}
       order by ticker, percent_owned limit 100)"""))
 def q_adhoc_json(spark, sf_dir):

@@ -226,7 +226,10 @@ def parse_holdings(raw: DataFrame) -> DataFrame:
         "fund_name", "date_insert", text_date("filing_date").alias("trans_date"),
         n.isin(12, 13).alias("ok"),
         *[cell(c).alias(c) for c in HOLDING_COLUMNS])
-    typed = typed.withColumn("value", F.explode_outer(F.split("value", ",")))
+    # digits in groups of three are one number; any other comma text is a list
+    whole = F.btrim("value").rlike(r"^[+-]?[0-9]{1,3}(,[0-9]{3})+([.][0-9]*)?$")
+    values = F.when(whole, F.array("value")).otherwise(F.split("value", ","))
+    typed = typed.withColumn("value", F.explode_outer(values))
     return typed.select(
         "ok", *[parse_number(F.trim(c)).alias(c) if c in HOLDING_INT_COLUMNS else F.col(c)
                 for c in HOLDING_COLUMNS],

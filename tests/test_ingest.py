@@ -77,6 +77,14 @@ def test_holdings_layouts(spark):
     assert bad.count() == 1
 
 
+def test_holdings_value_with_thousands_separators_is_one_number(spark):
+    cells = ["I", "COM", "000000003", "B", "1,234,567", "5", "SH", "None", "SOLE", "None", "5", "0", "0"]
+    raw = spark.createDataFrame([(cells, "f", "2024-05-20", D1)],
+                                "cells array<string>, fund_name string, filing_date string, date_insert date")
+    good, _ = I.clean_holdings(raw)
+    assert [r["value"] for r in good.collect()] == [1234567]
+
+
 def test_holdings_value_list_explodes(spark):
     cells = ["I", "COM", "000000003", "B", "1, 2", "5", "SH", "None", "SOLE", "None", "5", "0", "0"]
     raw = spark.createDataFrame([("fund", "2024-11-14", D1, cells)],

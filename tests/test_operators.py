@@ -91,6 +91,20 @@ def test_ownership_and_completeness(spark):
     assert rows(C.complete_only(s, ["sector", "market_cap", "pe"], ["sector", "market_cap"]), "ticker") == [("C",)]
 
 
+def test_sector_amounts_count_once(spark):
+    insider = spark.createDataFrame([("A", 10), ("A", 5), ("B", 7), ("C", 1), ("X", 9)], "ticker string, amount bigint")
+    screen = spark.createDataFrame([("A", "Tech"), ("A", "Energy"), ("A", "Tech"), ("B", "Tech"), ("C", None)], "ticker string, sector string")
+    got = {r.sector: (r.total_amount, r.n_tickers) for r in C.sector_concentration(insider, screen).collect()}
+    assert got == {C.MIXED_SECTOR: (15, 1), "Tech": (7, 1), None: (1, 1)}
+
+
+def test_fund_ids_are_dense_in_name_order(spark):
+    names = [f"fund {k:03d}" for k in range(200)] + [None]
+    weights = spark.createDataFrame([(n,) for n in names * 2], "fund_name string").repartition(7)
+    got = {r.fund_name: r.fund_id for r in C.fund_mapping(weights).collect()}
+    assert got == {n: k + 1 for k, n in enumerate(names)}
+
+
 def test_conversation_operators(spark):
     conv = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "bye"),
                                   (2, 3, "user", "q")], "conv_id long, turn long, role string, text string")
@@ -111,7 +125,17 @@ def test_adhoc_guard_rails(spark):
     assert A.answer(spark, "select nope from adhoc_t").first()[0] == A.ERROR_JSON
     assert A.answer(spark, "drop table adhoc_t").first()[0] == A.ERROR_JSON
     nulls = json.loads(A.answer(spark, "select cast(null as int) as x from adhoc_t limit 1").first()[0])
-    assert nulls == {"result": [{"x": None}]}
+    assert nulls == {"result": [{"x": None}], "total": 1, "truncated": False}
+    assert ok["total"] == 150 and ok["truncated"]
+    down = json.loads(A.answer(spark, "select id % 3 as k, id from adhoc_t order by k desc, id").first()[0])["result"]
+    assert [(r["k"], r["id"]) for r in down] == sorted(((i % 3, i) for i in range(150)), key=lambda p: (-p[0], p[1]))[:100]
+    assert json.loads(A.answer(spark, "with t as (select id from adhoc_t where id > (select max(id) from adhoc_t) - 2) select count(*) as n from t").first()[0])["result"] == [{"n": 2}]
+    refused = ["/* c */ drop view adhoc_t", "select /*+ COALESCE(1) */ * from adhoc_t", "select id from parquet.`/root/testdata/sf0.001/part.parquet`",
+               "from adhoc_t insert into other select id", "select 1 as a; drop view adhoc_t", "select id, id from adhoc_t", "select t.* from adhoc_t t",
+               "select cast('x' as int) as a from adhoc_t", "select raise_error('no') as a from adhoc_t", "set spark.sql.ansi.enabled=false", "", "select a from (select * from adhoc_t)"]
+    for sql in refused:
+        assert A.answer(spark, sql).first()[0] == A.ERROR_JSON, sql
+    assert spark.table("adhoc_t").count() == 150
 
 
 def test_sections_are_bounded_and_ordered(spark):
