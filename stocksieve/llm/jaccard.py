@@ -24,7 +24,7 @@ have 100 * intersection >= 75 * union, as classes and components.
 5. Pairs that pass are intersected exactly (sorted arrays of 64-bit hashes).
 6. Components over the links; a document's is its smallest reachable doc_id.
 
-The bitmap of a set has four to eight bits a shingle; two sets of different width
+The bitmap of a set has two to four bits a shingle; two sets of different width
 are compared at the smaller width, to which the larger folds by xor.
 
 Cases: documents without words have n_shingles 0 and are their own component;
@@ -60,7 +60,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 def width(n: int) -> int:
     """Bits of the bitmap of a set of n: a power of two."""
-    return min(1 << 17, max(64, 1 << int(4 * n - 1).bit_length()))
+    return min(1 << 16, max(64, 1 << int(2 * n - 1).bit_length()))
 
 
 def class_hash(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -134,6 +134,13 @@ def _prefixes(shared):
     return rows
 
 
+def _signed(table, cls: np.ndarray, double: np.ndarray, start: np.ndarray):
+    """The rows with ``same``, one number of the classes of their key."""
+    terms = np.where(double, X.U(0), X.mix(cls.view(X.U) ^ _CLASS))
+    sums = X.mix(np.add.reduceat(terms, start))
+    return table.append_column("same", pa.array(np.repeat(sums, np.diff(np.append(start, len(cls)))).view(np.int64)))
+
+
 def _shared_runs(column: str, names: list[str]):
     """From rows sorted by key: those of keys with two or more values of a
     column.  Rows pass through; only a key's rows before its second value wait,
@@ -155,11 +162,13 @@ def _shared_runs(column: str, names: list[str]):
             cls = batch.column("cls").to_numpy()
             double = np.concatenate([[False], (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])])
             last = run == run[-1]
+            batch = _signed(batch, cls, double, start)
             out = batch.filter(pa.array(mixed[run] & ~double & ~last)).select(names)
             yield from out.to_batches()
             # the last key may go on in the next batch
-            held = batch.filter(pa.array(last & ~double))
+            held = batch.filter(pa.array(last & ~double)).drop_columns(["same"])
         if held is not None and held.num_rows and len(np.unique(held.column(column).to_numpy())) > 1:
+            held = _signed(held, held.column("cls").to_numpy(), np.zeros(held.num_rows, bool), np.zeros(1, np.int64))
             yield from held.select(names).to_batches()
     return rows
 
@@ -323,7 +332,10 @@ def _apart(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFram
     sorted by shingle and size."""
     rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
     rooted = rooted.repartition("key").sortWithinPartitions("key", "cls")
-    apart = staged(rooted.mapInArrow(_shared_runs("root", ["key", "cls", "n", "root"]), "key long, cls long, n int, root long"), "runs-apart")
+    apart = staged(rooted.mapInArrow(_shared_runs("root", ["key", "cls", "n", "root", "same"]), "key long, cls long, n int, root long, same long"), "runs-apart")
+    # shingles with the same classes make the same tile: one of them is enough
+    one = apart.groupBy("same").agg(F.min("key").alias("key"))
+    apart = apart.join(one, ["same", "key"], "left_semi")
     tiles = apart.join(classes.select("cls", "bits"), "cls").select("key", "cls", F.col("n").cast("long").alias("n"), "root", "bits")
     return tiles.repartition("key").sortWithinPartitions("key", "n", "cls")
 
