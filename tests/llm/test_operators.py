@@ -343,7 +343,7 @@ def test_line_rules_against_brute_force(spark, nothing):
 
 
 def test_lines_are_cleaned_and_junk_is_rejected(spark):
-    clean = "\n".join(f"This is sentence number {k} of a plain text about water." for k in range(8))
+    clean = "\n".join(prose(random.Random(k), 12) + "." for k in range(8))
     menu = "\n".join("Home | About | Contact | Help" + str(k) for k in range(20))
     rows = [(0, clean), (1, clean + "\nHome | About | Help"), (2, clean[:60] + "\n" + menu), (3, clean.upper()), (4, clean.replace(" ", "*** "))]
     got = {r.doc_id: r for r in lines.judge_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
