@@ -20,7 +20,9 @@ have 100 * intersection >= 75 * union, as classes and components.
    ``7 * differing bits <= n1 + n2`` must hold for a pair to be linked.  A
    first pass over the tiles sends only as many passing pairs as would tie a
    tile's classes together (fewer than its rows); what they tie is left out of
-   the second, which sends every pair that passes between components.
+   the second, which sends every pair that passes between components, each
+  from the first of its common tiles only (a row brings along its class's
+  earlier tiles, fewer than a quarter of its set).
 5. Pairs that pass are intersected exactly (sorted arrays of 64-bit hashes).
 6. Components over the links; a document's is its smallest reachable doc_id.
 
@@ -37,7 +39,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,17 +221,32 @@ def _forest(pairs, root: np.ndarray):
             yield i, j
 
 
+def _first_common(pairs, start: int, earlier: pa.ListArray):
+    """The pairs of a tile (its rows begin at start) without an earlier tile in
+    common."""
+    bounds, keys = earlier.offsets.to_numpy(), earlier.values.to_numpy()
+    known: dict[int, frozenset] = {}
+    for pair in pairs:
+        for i in pair:
+            if i not in known:
+                known[i] = frozenset(keys[bounds[start + i]:bounds[start + i + 1]].tolist())
+        if known[pair[0]].isdisjoint(known[pair[1]]):
+            yield pair
+
+
 def _tiles(every: bool):
-    """Rows sorted by key and size to the pairs of classes that pass."""
+    """Rows sorted by key and size to the pairs of classes that pass: every
+    one, sent by the first of its tiles, or those that tie a tile's classes."""
     def pairs(table):
         key = table.column("key").to_numpy()
         cls, n, root = (table.column(c).to_numpy() for c in ("cls", "n", "root"))
         maps = table.column("bits").to_pylist()
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        earlier = pa.concat_arrays(table.column("earlier").chunks) if every else None
         found = set()
         for a, b in zip(start, [*start[1:], len(key)]):
             passing = tile_pairs(cls[a:b], n[a:b], root[a:b], maps[a:b])
-            for i, j in passing if every else _forest(passing, root[a:b]):
+            for i, j in _first_common(passing, a, earlier) if every else _forest(passing, root[a:b]):
                 (x, r), (y, q) = sorted([(int(cls[a + i]), int(root[a + i])), (int(cls[a + j]), int(root[a + j]))])
                 found.add((x, y, min(r, q), max(r, q)))
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(4)], ["a", "b", "low", "high"])
@@ -327,16 +344,22 @@ def stars(classes: DataFrame) -> DataFrame:
     return near.select(F.least("cls", "m.centre").alias("a"), F.greatest("cls", "m.centre").alias("b")).distinct()
 
 
-def _apart(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of the shingles that different components share, with bitmaps,
-    sorted by shingle and size."""
+def _apart(members: DataFrame, classes: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
+    """The rows of the shingles that different components share, with bitmaps
+    (and, for every pair, the class's smaller shingles among them), sorted by
+    shingle and size."""
     rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
     rooted = rooted.repartition("key").sortWithinPartitions("key", "cls")
     apart = staged(rooted.mapInArrow(_shared_runs("root", ["key", "cls", "n", "root", "same"]), "key long, cls long, n int, root long, same long"), "runs-apart")
     # shingles with the same classes make the same tile: one of them is enough
     one = apart.groupBy("same").agg(F.min("key").alias("key"))
     apart = apart.join(one, ["same", "key"], "left_semi")
-    tiles = apart.join(classes.select("cls", "bits"), "cls").select("key", "cls", F.col("n").cast("long").alias("n"), "root", "bits")
+    names = ["key", "cls", F.col("n").cast("long").alias("n"), "root"]
+    if every:  # dealt by class, as the join below is; a class has at most its prefix
+        before = Window.partitionBy("cls").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        names.append("earlier")
+        apart = apart.withColumn("earlier", F.collect_list("key").over(before))
+    tiles = apart.join(classes.select("cls", "bits"), "cls").select(*names, "bits")
     return tiles.repartition("key").sortWithinPartitions("key", "n", "cls")
 
 
@@ -362,7 +385,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     keys = keys.repartition("key").sortWithinPartitions("key", "cls")
     members = staged(keys.mapInArrow(_shared_runs("cls", ["key", "cls", "n"]), "key long, cls long, n int"), "runs")
     for every in (False, True):
-        more = _apart(members, classes, roots).mapInArrow(_tiles(every), "a long, b long, low long, high long")
+        more = _apart(members, classes, roots, every).mapInArrow(_tiles(every), "a long, b long, low long, high long")
         if every:
             more = more.select("a", "b").distinct()
         else:  # one pair for two components is enough to try

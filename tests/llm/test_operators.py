@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stocksieve.llm import (decontaminate, jaccard, langid, lines, mixing, ordinal, suffixes, text as X, tokens, toxicity,
@@ -158,6 +159,20 @@ def test_bitmap_bound_never_loses_a_link():
                 assert list(jaccard.tile_pairs(np.array([1, 2]), size, np.array([1, 2]), [jaccard.parity(s) for s in sets])) == [(0, 1)]
 
 
+def test_every_pair_is_sent_by_its_first_tile_only():
+    # classes 1, 2, 3 of one set; keys 10 and 20 hold 1 and 2, key 20 holds 3 too
+    bits = jaccard.parity(np.arange(40, dtype=np.uint64))
+    tiles = {10: [(1, []), (2, [])], 20: [(1, [10]), (2, [10]), (3, [])]}
+    sent = []
+    for key, rows in tiles.items():  # a task each
+        batch = pa.RecordBatch.from_pydict({
+            "key": pa.array([key] * len(rows), pa.int64()), "cls": pa.array([c for c, _ in rows], pa.int64()),
+            "n": pa.array([40] * len(rows), pa.int64()), "root": pa.array([c for c, _ in rows], pa.int64()),
+            "earlier": pa.array([e for _, e in rows], pa.list_(pa.int64())), "bits": pa.array([bits] * len(rows), pa.binary())})
+        sent += [(r["a"], r["b"]) for out in jaccard._tiles(True)([batch.slice(0, 1), batch.slice(1)]) for r in out.to_pylist()]
+    assert sorted(sent) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 200 + k) for k in range(80)] + [(500, 500)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
