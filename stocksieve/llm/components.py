@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,12 +13,48 @@ from ..session import shared_path
 MAX_ROUNDS = 60
 
 
+#: Spark then removes a query's shuffle files when the query ends
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: lost executors
-    read files, they don't run the plan anew."""
-    path = shared_path(df.sparkSession, name, unique=True)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read files, they don't run the plan anew.  Its shuffle files go once it is
+    written."""
+    return _written(df, shared_path(df.sparkSession, name, unique=True))
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A ``staged`` whose tables are removed when the block ends; what outlives
+    the block must be staged outside it."""
+    folder = shared_path(spark, "scratch", unique=True)
+    count = 0
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        nonlocal count
+        count += 1
+        return _written(df, f"{folder}/{count}-{name}")
+
+    try:
+        yield stage
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
@@ -31,18 +69,23 @@ def components(links: DataFrame) -> DataFrame:
     partial minimum, so a node with very many links is no bottleneck), then
     takes its label's label.  Jumping halves the distance to the root each
     round; the loop ends when a round changes nothing."""
+    with scratch(links.sparkSession) as stage:
+        return staged(_settled(links, stage), "roots")
+
+
+def _settled(links: DataFrame, stage) -> DataFrame:
     both = links.select("a", "b").where("a <> b")
-    both = staged(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
+    both = stage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
     for _ in range(MAX_ROUNDS):
         seen = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         # a root hears the smallest label among those who name it, too
         lower = label.join(seen, "node").select("node", "root", F.least("root", "near").alias("low"))
         hooked = lower.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("hook"))
         lower = lower.join(hooked, "node", "left").select("node", F.col("root").alias("was"), F.least("low", F.coalesce("hook", "low")).alias("root"))
-        lower = staged(lower, "labels")
+        lower = stage(lower, "labels")
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        now = staged(lower.join(jump, "root").select("node", "was", F.col("next").alias("root")), "labels")
+        now = stage(lower.join(jump, "root").select("node", "was", F.col("next").alias("root")), "labels")
         changed = not now.where("root <> was").isEmpty()
         label = now.select("node", "root")
         if not changed:

@@ -20,9 +20,10 @@ have 100 * intersection >= 75 * union, as classes and components.
    ``7 * differing bits <= n1 + n2`` must hold for a pair to be linked.  A
    first pass over the tiles sends only as many passing pairs as would tie a
    tile's classes together (fewer than its rows); what they tie is left out of
-   the second, which sends every pair that passes between components, each
-  from the first of its common tiles only (a row brings along its class's
-  earlier tiles, fewer than a quarter of its set).
+   the second, which sends every pair that passes between components.  A row
+   brings along the first ``EARLIER`` tiles of its class: a pair whose lists
+   share an earlier tile was sent there; any that several tiles still send is
+   made one by ``distinct``.
 5. Pairs that pass are intersected exactly (sorted arrays of 64-bit hashes).
 6. Components over the links; a document's is its smallest reachable doc_id.
 
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .components import components, staged, with_field
+from .components import components, scratch, staged, with_field
 from .sketch import histogram
 
 SHINGLE = 5
@@ -52,6 +53,7 @@ SLOT_BITS = 20  # of the histogram of shingles: 4 MB
 FILTER_BITS = 22  # of the histogram of wanted classes: 16 MB
 MINIMA = 6
 CROWDED = 4  # times the mean slot
+EARLIER = 16  # tiles of a class by which pairs met before are known
 _SALTS = [X.U((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64) for k in range(MINIMA)]
 _CLASS = X.U(0xD1B54A32D192ED03)
 
@@ -221,32 +223,33 @@ def _forest(pairs, root: np.ndarray):
             yield i, j
 
 
-def _first_common(pairs, start: int, earlier: pa.ListArray):
-    """The pairs of a tile (its rows begin at start) without an earlier tile in
-    common."""
-    bounds, keys = earlier.offsets.to_numpy(), earlier.values.to_numpy()
+def _unmet(pairs, start: int, key: int, firsts: pa.ListArray):
+    """The pairs of a tile (its rows begin at start) that no smaller tile known
+    of both has sent."""
+    bounds, keys = firsts.offsets.to_numpy(), firsts.values.to_numpy()
     known: dict[int, frozenset] = {}
     for pair in pairs:
         for i in pair:
             if i not in known:
-                known[i] = frozenset(keys[bounds[start + i]:bounds[start + i + 1]].tolist())
+                own = keys[bounds[start + i]:bounds[start + i + 1]]
+                known[i] = frozenset(own[own < key].tolist())
         if known[pair[0]].isdisjoint(known[pair[1]]):
             yield pair
 
 
 def _tiles(every: bool):
     """Rows sorted by key and size to the pairs of classes that pass: every
-    one, sent by the first of its tiles, or those that tie a tile's classes."""
+    one not known to be sent before, or those that tie a tile's classes."""
     def pairs(table):
         key = table.column("key").to_numpy()
         cls, n, root = (table.column(c).to_numpy() for c in ("cls", "n", "root"))
         maps = table.column("bits").to_pylist()
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        earlier = pa.concat_arrays(table.column("earlier").chunks) if every else None
+        firsts = pa.concat_arrays(table.column("firsts").chunks) if every else None
         found = set()
         for a, b in zip(start, [*start[1:], len(key)]):
             passing = tile_pairs(cls[a:b], n[a:b], root[a:b], maps[a:b])
-            for i, j in _first_common(passing, a, earlier) if every else _forest(passing, root[a:b]):
+            for i, j in _unmet(passing, a, int(key[a]), firsts) if every else _forest(passing, root[a:b]):
                 (x, r), (y, q) = sorted([(int(cls[a + i]), int(root[a + i])), (int(cls[a + j]), int(root[a + j]))])
                 found.add((x, y, min(r, q), max(r, q)))
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(4)], ["a", "b", "low", "high"])
@@ -298,7 +301,7 @@ def _intersect(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, stage) -> DataFrame:
     """The pairs ``(a, b)`` of classes that are linked.  Sets are made again
     from the texts, for the classes that occur in a pair (a fixed-size filter
     keeps nearly all others out, the joins the rest)."""
@@ -307,10 +310,10 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     counts = histogram(ends, lambda batch: [batch.column("cls").to_numpy().view(X.U)], FILTER_BITS)
     shared = spark.sparkContext.broadcast(counts > 0)
     sets = docs.select("text").mapInArrow(_wanted_sets(shared), "cls long, members binary").join(ends, "cls", "left_semi").dropDuplicates(["cls"])
-    sets = staged(sets, "sets")
+    sets = stage(sets, "sets")
     left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a")), "a")
     both = left.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return staged(both.mapInArrow(_intersect, "a long, b long"), "jaccard-links")
+    return both.mapInArrow(_intersect, "a long, b long")
 
 
 def _bounded(batches):
@@ -324,15 +327,15 @@ def _bounded(batches):
         yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("centre"), pa.array(apart)], ["cls", "centre", "apart"]).filter(pa.array(keep))
 
 
-def stars(classes: DataFrame) -> DataFrame:
+def stars(classes: DataFrame, stage) -> DataFrame:
     """Pairs ``(a, b)``: a class and its star's centre.  The classes of a
     minimum have as centre the one whose minima are the most shared; of a
     class's centres the nearest by bitmaps is taken, so there are no more pairs
     than classes."""
     each = classes.select("cls", F.posexplode("minima").alias("order", "least"))
     shared = each.groupBy("order", "least").agg(F.count("*").alias("size")).where("size > 1")
-    each = staged(each.join(shared, ["order", "least"]), "minima")
-    known = staged(each.groupBy("cls").agg(F.sum("size").alias("known")), "known")
+    each = stage(each.join(shared, ["order", "least"]), "minima")
+    known = stage(each.groupBy("cls").agg(F.sum("size").alias("known")), "known")
     centre = each.join(known, "cls").groupBy("order", "least").agg(F.max(F.struct("known", "cls")).alias("m"))
     centre = centre.select("order", "least", F.col("m.cls").alias("centre"))
     pairs = each.join(centre, ["order", "least"]).where("cls <> centre").select("cls", "centre").distinct()
@@ -344,21 +347,22 @@ def stars(classes: DataFrame) -> DataFrame:
     return near.select(F.least("cls", "m.centre").alias("a"), F.greatest("cls", "m.centre").alias("b")).distinct()
 
 
-def _apart(members: DataFrame, classes: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
+def _apart(members: DataFrame, classes: DataFrame, roots: DataFrame, every: bool, stage) -> DataFrame:
     """The rows of the shingles that different components share, with bitmaps
-    (and, for every pair, the class's smaller shingles among them), sorted by
+    (and, for every pair, the class's smallest such shingles), sorted by
     shingle and size."""
     rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
     rooted = rooted.repartition("key").sortWithinPartitions("key", "cls")
-    apart = staged(rooted.mapInArrow(_shared_runs("root", ["key", "cls", "n", "root", "same"]), "key long, cls long, n int, root long, same long"), "runs-apart")
+    apart = stage(rooted.mapInArrow(_shared_runs("root", ["key", "cls", "n", "root", "same"]), "key long, cls long, n int, root long, same long"), "runs-apart")
     # shingles with the same classes make the same tile: one of them is enough
     one = apart.groupBy("same").agg(F.min("key").alias("key"))
     apart = apart.join(one, ["same", "key"], "left_semi")
     names = ["key", "cls", F.col("n").cast("long").alias("n"), "root"]
-    if every:  # dealt by class, as the join below is; a class has at most its prefix
-        before = Window.partitionBy("cls").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-        names.append("earlier")
-        apart = apart.withColumn("earlier", F.collect_list("key").over(before))
+    if every:  # dealt by class, as the join below is
+        place = F.row_number().over(Window.partitionBy("cls").orderBy("key"))
+        first = F.when(place <= EARLIER, F.col("key"))
+        names.append("firsts")
+        apart = apart.withColumn("first", first).withColumn("firsts", F.collect_list("first").over(Window.partitionBy("cls")))
     tiles = apart.join(classes.select("cls", "bits"), "cls").select(*names, "bits")
     return tiles.repartition("key").sortWithinPartitions("key", "n", "cls")
 
@@ -367,15 +371,26 @@ def grouped(docs: DataFrame) -> DataFrame:
     """``(doc_id, cls, n, root, first_id, component_id)`` for every row: the
     class of its set, the class that stands for its component, the smallest
     ids of both (null where n is 0: such rows are in no class)."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
     signed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                     .mapInArrow(_signatures, "doc_id long, cls long, n long, bits binary, minima array<long>"), "signatures")
+    with scratch(docs.sparkSession) as stage:
+        placed = staged(_placed(docs, signed, stage), "placed")
+    return signed.select("doc_id", "cls", "n").join(placed, "cls", "left")
+
+
+def _placed(docs: DataFrame, signed: DataFrame, stage) -> DataFrame:
+    """``(cls, root, first_id, component_id)`` of every class.  ``stage`` holds
+    what all steps need, a scratch of its own what one step does."""
+    spark = docs.sparkSession
+    texts = docs.select("text")
     # members of a class have the same set, so any one's bitmap serves
     classes = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"),
                                                      F.first("bits").alias("bits"), F.first("minima").alias("minima"))
-    classes = staged(classes, "classes")
-    links = verified(docs, staged(stars(classes), "star-pairs"))
+    classes = stage(classes, "classes")
+    with scratch(spark) as own:
+        pairs = stage(stars(classes, own), "star-pairs")
+    with scratch(spark) as own:
+        links = stage(verified(docs, pairs, own), "links")
     roots = components(links)
 
     counts = histogram(texts, _shingles, SLOT_BITS)
@@ -383,20 +398,21 @@ def grouped(docs: DataFrame) -> DataFrame:
     crowd = np.floor(np.log2(np.maximum(counts / (CROWDED * mean), 0.5))).astype(np.int8)  # -1: not crowded
     keys = texts.mapInArrow(_prefixes(spark.sparkContext.broadcast(crowd)), "key long, cls long, n int")
     keys = keys.repartition("key").sortWithinPartitions("key", "cls")
-    members = staged(keys.mapInArrow(_shared_runs("cls", ["key", "cls", "n"]), "key long, cls long, n int"), "runs")
+    members = stage(keys.mapInArrow(_shared_runs("cls", ["key", "cls", "n"]), "key long, cls long, n int"), "runs")
     for every in (False, True):
-        more = _apart(members, classes, roots, every).mapInArrow(_tiles(every), "a long, b long, low long, high long")
-        if every:
-            more = more.select("a", "b").distinct()
-        else:  # one pair for two components is enough to try
-            more = more.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b")
-        more = staged(more, "tile-pairs")
-        links = links.unionByName(verified(docs, more))
+        with scratch(spark) as own:
+            more = _apart(members, classes, roots, every, own).mapInArrow(_tiles(every), "a long, b long, low long, high long")
+            if every:
+                more = more.select("a", "b").distinct()
+            else:  # one pair for two components is enough to try
+                more = more.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b")
+            more = stage(more, "tile-pairs")
+        with scratch(spark) as own:
+            links = links.unionByName(stage(verified(docs, more, own), "links"))
         roots = components(links)
     placed = classes.select("cls", "first_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    placed = placed.join(smallest, "root").select("cls", "root", "first_id", "component_id")
-    return signed.select("doc_id", "cls", "n").join(placed, "cls", "left")
+    return placed.join(smallest, "root").select("cls", "root", "first_id", "component_id")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 nulls, empty and long texts, repeated rows, ties, empty tables, extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -9,10 +10,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stocksieve.llm import (decontaminate, jaccard, langid, lines, mixing, ordinal, suffixes, text as X, tokens, toxicity,
                             urlrules)
-from stocksieve.llm.components import components
+from stocksieve.llm.components import components, scratch, staged
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, cls string"
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa".split()
@@ -162,17 +164,26 @@ def test_bitmap_bound_never_loses_a_link():
 def test_every_pair_is_sent_by_its_first_tile_only():
     # classes 1, 2, 3 of one set; keys 10 and 20 hold 1 and 2, key 20 holds 3 too
     bits = jaccard.parity(np.arange(40, dtype=np.uint64))
-    tiles = {10: [(1, []), (2, [])], 20: [(1, [10]), (2, [10]), (3, [])]}
+    tiles = {10: [(1, [10, 20]), (2, [10, 20])], 20: [(1, [10, 20]), (2, [10, 20]), (3, [20])]}
     sent = []
     for key, rows in tiles.items():  # a task each
         batch = pa.RecordBatch.from_pydict({
             "key": pa.array([key] * len(rows), pa.int64()), "cls": pa.array([c for c, _ in rows], pa.int64()),
             "n": pa.array([40] * len(rows), pa.int64()), "root": pa.array([c for c, _ in rows], pa.int64()),
-            "earlier": pa.array([e for _, e in rows], pa.list_(pa.int64())), "bits": pa.array([bits] * len(rows), pa.binary())})
+            "firsts": pa.array([e for _, e in rows], pa.list_(pa.int64())), "bits": pa.array([bits] * len(rows), pa.binary())})
         sent += [(r["a"], r["b"]) for out in jaccard._tiles(True)([batch.slice(0, 1), batch.slice(1)]) for r in out.to_pylist()]
     assert sorted(sent) == [(1, 2), (1, 3), (2, 3)]
 
 
+def test_scratch_tables_go_and_staged_ones_stay(spark):
+    with scratch(spark) as stage:
+        inner = stage(spark.range(9).groupBy((F.col("id") % 2).alias("k")).count(), "inner")
+        folder = inner.inputFiles()[0]
+        outer = staged(inner, "outer")
+    assert outer.count() == 2
+    assert not os.path.exists(folder.replace("file://", ""))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 200 + k) for k in range(80)] + [(500, 500)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
