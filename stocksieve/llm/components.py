@@ -65,29 +65,43 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` of every node of ``links (a, b)``: root is the
     smallest node reachable.
 
-    Each round every node takes the smallest label among its neighbours (a
-    partial minimum, so a node with very many links is no bottleneck), then
-    takes its label's label.  Jumping halves the distance to the root each
-    round; the loop ends when a round changes nothing."""
+    Each round every node takes its smallest neighbour as label (a partial
+    minimum, so a node with very many links is no bottleneck), then its
+    label's label.  Links are then read between labels: those within one label
+    go, equal ones become one, so a round handles only what the one before
+    left open.  At the end the rounds' labels are followed from the last to
+    the first."""
     with scratch(links.sparkSession) as stage:
         return staged(_settled(links, stage), "roots")
 
 
+def _between(a: str, b: str) -> list:
+    return [F.least(a, b).alias("low"), F.greatest(a, b).alias("high")]
+
+
 def _settled(links: DataFrame, stage) -> DataFrame:
-    both = links.select("a", "b").where("a <> b")
-    both = stage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
-    for _ in range(MAX_ROUNDS):
-        seen = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        # a root hears the smallest label among those who name it, too
-        lower = label.join(seen, "node").select("node", "root", F.least("root", "near").alias("low"))
-        hooked = lower.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("hook"))
-        lower = lower.join(hooked, "node", "left").select("node", F.col("root").alias("was"), F.least("low", F.coalesce("hook", "low")).alias("root"))
-        lower = stage(lower, "labels")
-        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        now = stage(lower.join(jump, "root").select("node", "was", F.col("next").alias("root")), "labels")
-        changed = not now.where("root <> was").isEmpty()
-        label = now.select("node", "root")
-        if not changed:
-            return label
-    raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
+    rounds = []
+    links = stage(links.select(*_between("a", "b")).where("low < high").distinct(), "links")
+    while not links.isEmpty():
+        if len(rounds) == MAX_ROUNDS:
+            raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
+        near = links.select(F.col("high").alias("node"), "low").unionByName(links.select(F.col("low").alias("node"), "low"))
+        near = stage(near.groupBy("node").agg(F.min("low").alias("root")), "near")
+        jump = near.join(near.toDF("root", "next"), "root").select("node", F.col("next").alias("root"))
+        label = stage(jump, "labels")
+        rounds.append(label)
+        links = links.join(label.toDF("low", "a"), "low").join(label.toDF("high", "b"), "high")
+        links = stage(links.select(*_between("a", "b")).where("low < high").distinct(), "links")
+    if not rounds:
+        return links.toDF("node", "root")
+    roots = rounds.pop()
+    while rounds:
+        roots = followed(rounds.pop(), roots)
+    return roots
+
+
+def followed(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """``labels (node, root)`` with each root replaced by its own in ``roots``,
+    where it has one."""
+    top = roots.toDF("root", "top")
+    return labels.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))

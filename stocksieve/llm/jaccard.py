@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .components import components, scratch, staged, with_field
+from .components import components, followed, scratch, staged, with_field
 from .sketch import histogram
 
 SHINGLE = 5
@@ -298,13 +298,14 @@ def _intersect(batches):
             x, y = (np.frombuffer(v.as_buffer(), X.U) for v in (a, b))
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= 75 * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column("low"), batch.column("high")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, stage) -> DataFrame:
-    """The pairs ``(a, b)`` of classes that are linked.  Sets are made again
-    from the texts, for the classes that occur in a pair (a fixed-size filter
-    keeps nearly all others out, the joins the rest)."""
+    """Links ``(a, b)`` between components: ``(low, high)`` of the pairs
+    ``(a, b, low, high)`` whose classes a and b are linked.  Sets are made
+    again from the texts, for the classes that occur in a pair (a fixed-size
+    filter keeps nearly all others out, the joins the rest)."""
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     counts = histogram(ends, lambda batch: [batch.column("cls").to_numpy().view(X.U)], FILTER_BITS)
@@ -312,7 +313,7 @@ def verified(docs: DataFrame, pairs: DataFrame, stage) -> DataFrame:
     sets = docs.select("text").mapInArrow(_wanted_sets(shared), "cls long, members binary").join(ends, "cls", "left_semi").dropDuplicates(["cls"])
     sets = stage(sets, "sets")
     left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    both = left.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("set_b")), "b").select("low", "high", "set_a", "set_b")
     return both.mapInArrow(_intersect, "a long, b long")
 
 
@@ -328,7 +329,7 @@ def _bounded(batches):
 
 
 def stars(classes: DataFrame, stage) -> DataFrame:
-    """Pairs ``(a, b)``: a class and its star's centre.  The classes of a
+    """Pairs ``(a, b, low, high)``: a class and its star's centre.  The classes of a
     minimum have as centre the one whose minima are the most shared; of a
     class's centres the nearest by bitmaps is taken, so there are no more pairs
     than classes."""
@@ -344,14 +345,15 @@ def stars(classes: DataFrame, stage) -> DataFrame:
     pairs = pairs.where((F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3))
     near = pairs.select("cls", "centre", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "cls long, centre long, apart long")
     near = near.groupBy("cls").agg(F.min(F.struct("apart", "centre")).alias("m"))
-    return near.select(F.least("cls", "m.centre").alias("a"), F.greatest("cls", "m.centre").alias("b")).distinct()
+    near = near.select(F.least("cls", "m.centre").alias("a"), F.greatest("cls", "m.centre").alias("b")).distinct()
+    return near.select("a", "b", F.col("a").alias("low"), F.col("b").alias("high"))
 
 
 def _apart(members: DataFrame, classes: DataFrame, roots: DataFrame, every: bool, stage) -> DataFrame:
     """The rows of the shingles that different components share, with bitmaps
     (and, for every pair, the class's smallest such shingles), sorted by
     shingle and size."""
-    rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls").select("key", "cls", "n", "root")
     rooted = rooted.repartition("key").sortWithinPartitions("key", "cls")
     apart = stage(rooted.mapInArrow(_shared_runs("root", ["key", "cls", "n", "root", "same"]), "key long, cls long, n int, root long, same long"), "runs-apart")
     # shingles with the same classes make the same tile: one of them is enough
@@ -389,9 +391,8 @@ def _placed(docs: DataFrame, signed: DataFrame, stage) -> DataFrame:
     classes = stage(classes, "classes")
     with scratch(spark) as own:
         pairs = stage(stars(classes, own), "star-pairs")
-    with scratch(spark) as own:
-        links = stage(verified(docs, pairs, own), "links")
-    roots = components(links)
+    roots = classes.select(F.col("cls").alias("node"), F.col("cls").alias("root"))
+    roots = _tied(docs, pairs, roots, stage)
 
     counts = histogram(texts, _shingles, SLOT_BITS)
     mean = max(1.0, counts.sum() / max(1, np.count_nonzero(counts)))
@@ -403,18 +404,23 @@ def _placed(docs: DataFrame, signed: DataFrame, stage) -> DataFrame:
         with scratch(spark) as own:
             more = _apart(members, classes, roots, every, own).mapInArrow(_tiles(every), "a long, b long, low long, high long")
             if every:
-                more = more.select("a", "b").distinct()
+                more = more.distinct()
             else:  # one pair for two components is enough to try
-                more = more.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b")
+                more = more.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b", "low", "high")
             more = stage(more, "tile-pairs")
-        with scratch(spark) as own:
-            links = links.unionByName(stage(verified(docs, more, own), "links"))
-        roots = components(links)
-    placed = classes.select("cls", "first_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
+        roots = _tied(docs, more, roots, stage)
+    placed = classes.select("cls", "first_id").join(roots.withColumnRenamed("node", "cls"), "cls")
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return placed.join(smallest, "root").select("cls", "root", "first_id", "component_id")
 
 
+def _tied(docs: DataFrame, pairs: DataFrame, roots: DataFrame, stage) -> DataFrame:
+    """``roots`` of all classes after the links among ``pairs``."""
+    with scratch(docs.sparkSession) as own:
+        found = components(own(verified(docs, pairs, own), "links"))
+        return stage(followed(roots, found), "roots")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, class_id)`` for every row."""
     own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id"))
