@@ -46,11 +46,11 @@ from pyspark.sql import types as T
 
 from . import text as X
 from .components import components, followed, scratch, staged, with_field
-from .sketch import histogram
+from .sketch import histogram, presence, present
 
 SHINGLE = 5
 SLOT_BITS = 20  # of the histogram of shingles: 4 MB
-FILTER_BITS = 22  # of the histogram of wanted classes: 16 MB
+FILTER_BITS = 22  # of the filter of wanted classes: 0.5 MB
 MINIMA = 6
 CROWDED = 4  # times the mean slot
 EARLIER = 16  # tiles of a class by which pairs met before are known
@@ -281,7 +281,7 @@ def _wanted_sets(shared):
         for batch in batches:
             for _, sets, bounds in _sets(batch):
                 cls = class_hash(sets, bounds)
-                hit = np.flatnonzero(wanted[(cls.view(X.U) & X.U(len(wanted) - 1)).astype(np.int64)] & (np.diff(bounds) > 0))
+                hit = np.flatnonzero(present(wanted, cls.view(X.U)) & (np.diff(bounds) > 0))
                 take = []
                 for i in hit:
                     if int(cls[i]) not in seen:
@@ -308,8 +308,7 @@ def verified(docs: DataFrame, pairs: DataFrame, stage) -> DataFrame:
     filter keeps nearly all others out, the joins the rest)."""
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    counts = histogram(ends, lambda batch: [batch.column("cls").to_numpy().view(X.U)], FILTER_BITS)
-    shared = spark.sparkContext.broadcast(counts > 0)
+    shared = spark.sparkContext.broadcast(presence(ends, lambda batch: [batch.column("cls").to_numpy().view(X.U)], FILTER_BITS))
     sets = docs.select("text").mapInArrow(_wanted_sets(shared), "cls long, members binary").join(ends, "cls", "left_semi").dropDuplicates(["cls"])
     sets = stage(sets, "sets")
     left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a")), "a")

@@ -1,4 +1,4 @@
-"""Fixed-size histograms of hashes over whole tables."""
+"""Fixed-size histograms and bit filters of hashes over whole tables."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 _BLOCK = 1 << 14
 _SCHEMA = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+_DDL = "block int, counts binary"
 
 
 def _rows(counts: np.ndarray):
@@ -33,17 +34,47 @@ def histogram(df: DataFrame, hashes: Callable, bits: int) -> np.ndarray:
                 counts += np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=size).astype(np.uint32)
         yield from _rows(counts)
 
+    return _gathered(df.mapInArrow(count, _DDL), np.add, np.uint32, size)
+
+
+def presence(df: DataFrame, hashes: Callable, bits: int) -> np.ndarray:
+    """In which of ``2**bits`` slots hashes fall, eight slots a byte: an eighth
+    of ``2**bits`` bytes reach the driver.  ``present`` reads it."""
+    size = max((1 << bits) // 8, _BLOCK)
+
+    def mark(batches):
+        found = np.zeros(8 * size, bool)
+        for batch in batches:
+            for h in hashes(batch):
+                found[_slot(h, size)] = True
+        yield from _rows(np.packbits(found, bitorder="little"))
+
+    return _gathered(df.mapInArrow(mark, _DDL), np.bitwise_or, np.uint8, size)
+
+
+def _slot(h: np.ndarray, size: int) -> np.ndarray:
+    return (h & np.uint64(8 * size - 1)).astype(np.int64)
+
+
+def present(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the slots of hashes are marked."""
+    slot = _slot(h, len(marks))
+    return (marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _gathered(parts: DataFrame, both: Callable, kind: type, size: int) -> np.ndarray:
+    """The tasks' blocks, those of one place put together by ``both``."""
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                part = np.frombuffer(raw, np.uint32)
-                held[k] = held[k] + part if k in held else part
+                part = np.frombuffer(raw, kind)
+                held[k] = both(held[k], part) if k in held else part
         for k, part in held.items():
             yield pa.RecordBatch.from_pylist([{"block": k, "counts": part.tobytes()}], _SCHEMA)
 
-    got = df.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary").toArrow()
-    out = np.zeros(size, np.uint32)
-    for k, raw in zip(got.column("block").to_pylist(), got.column("counts").to_pylist()):
-        out[k * _BLOCK:(k + 1) * _BLOCK] = np.frombuffer(raw, np.uint32)
+    got = parts.repartition("block").mapInArrow(add, _DDL).toArrow()
+    out = np.zeros(size, kind)
+    for k, raw in zip(got.column("block").to_pylist(), got.column("counts")):
+        out[k * _BLOCK:(k + 1) * _BLOCK] = np.frombuffer(raw.as_buffer(), kind)
     return out

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stocksieve.llm import (decontaminate, jaccard, langid, lines, mixing, ordinal, suffixes, text as X, tokens, toxicity,
                             urlrules)
 from stocksieve.llm.components import components, scratch, staged
+from stocksieve.llm.sketch import presence, present
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, cls string"
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa".split()
@@ -175,6 +176,14 @@ def test_every_pair_is_sent_by_its_first_tile_only():
     assert sorted(sent) == [(1, 2), (1, 3), (2, 3)]
 
 
+def test_presence_marks_every_hash_and_few_others(spark):
+    df = spark.range(3000).select((F.xxhash64("id")).alias("h")).repartition(5)
+    own = np.array([r.h for r in df.collect()]).view(np.uint64)
+    marks = presence(df, lambda batch: [batch.column("h").to_numpy().view(np.uint64)], 18)
+    assert present(marks, own).all()
+    assert present(marks, X.mix(own + X.U(1))).mean() < 0.05
+
+
 def test_scratch_tables_go_and_staged_ones_stay(spark):
     with scratch(spark) as stage:
         inner = stage(spark.range(9).groupBy((F.col("id") % 2).alias("k")).count(), "inner")
