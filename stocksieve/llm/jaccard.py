@@ -352,7 +352,7 @@ def _apart(members: DataFrame, classes: DataFrame, roots: DataFrame, every: bool
     """The rows of the shingles that different components share, with bitmaps
     (and, for every pair, the class's smallest such shingles), sorted by
     shingle and size."""
-    rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls").select("key", "cls", "n", "root")
+    rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
     rooted = rooted.repartition("key").sortWithinPartitions("key", "cls")
     apart = stage(rooted.mapInArrow(_shared_runs("root", ["key", "cls", "n", "root", "same"]), "key long, cls long, n int, root long, same long"), "runs-apart")
     # shingles with the same classes make the same tile: one of them is enough
@@ -390,8 +390,7 @@ def _placed(docs: DataFrame, signed: DataFrame, stage) -> DataFrame:
     classes = stage(classes, "classes")
     with scratch(spark) as own:
         pairs = stage(stars(classes, own), "star-pairs")
-    roots = classes.select(F.col("cls").alias("node"), F.col("cls").alias("root"))
-    roots = _tied(docs, pairs, roots, stage)
+    roots = _tied(docs, pairs, None, stage)
 
     counts = histogram(texts, _shingles, SLOT_BITS)
     mean = max(1.0, counts.sum() / max(1, np.count_nonzero(counts)))
@@ -408,16 +407,18 @@ def _placed(docs: DataFrame, signed: DataFrame, stage) -> DataFrame:
                 more = more.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b", "low", "high")
             more = stage(more, "tile-pairs")
         roots = _tied(docs, more, roots, stage)
-    placed = classes.select("cls", "first_id").join(roots.withColumnRenamed("node", "cls"), "cls")
+    placed = classes.select("cls", "first_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return placed.join(smallest, "root").select("cls", "root", "first_id", "component_id")
 
 
-def _tied(docs: DataFrame, pairs: DataFrame, roots: DataFrame, stage) -> DataFrame:
-    """``roots`` of all classes after the links among ``pairs``."""
+def _tied(docs: DataFrame, pairs: DataFrame, roots: DataFrame | None, stage) -> DataFrame:
+    """``roots`` of the classes that have a link, after those among ``pairs``."""
     with scratch(docs.sparkSession) as own:
         found = components(own(verified(docs, pairs, own), "links"))
-        return stage(followed(roots, found), "roots")
+        if roots is not None:
+            found = followed(roots, found).unionByName(found.join(roots, "node", "left_anti"))
+        return stage(found, "roots")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
