@@ -90,15 +90,17 @@ def block_postings(base: int, texts: list[str], split: Splitter, known: dict):
     block's first row (8 bytes), two-byte places in the block, one-byte
     frequencies."""
     numbers: dict[str, int] = {}
-    ids, at = [], []
-    for k, t in enumerate(texts):
-        found = [numbers.setdefault(c, len(numbers)) for c in chunks(t)]
-        ids.append(np.array(found, np.int64))
-        at.append(np.full(len(found), k, np.int64))
+    docs, ids, counts = [], [], []
+    for k, t in enumerate(texts):  # occurrences are held for one document at a time
+        own = np.array([numbers.setdefault(c, len(numbers)) for c in chunks(t)], np.int32)
+        own, n = np.unique(own, return_counts=True)
+        docs.append(np.full(len(own), k, np.int32))
+        ids.append(own)
+        counts.append(n.astype(np.int32))
     if not numbers:
         return
-    pair, n = np.unique(np.concatenate(at) * len(numbers) + np.concatenate(ids), return_counts=True)
-    doc, chunk = pair // len(numbers), pair % len(numbers)
+    doc, chunk, n = np.concatenate(docs), np.concatenate(ids), np.concatenate(counts)
+    del docs, ids, counts
     pres: dict[str, int] = {}
     flat, size = [], np.zeros(len(numbers), np.int64)
     for k, c in enumerate(numbers):
@@ -114,6 +116,7 @@ def block_postings(base: int, texts: list[str], split: Splitter, known: dict):
     times = size[chunk]
     take = np.repeat(first[chunk] - (np.cumsum(times) - times), times) + np.arange(times.sum())
     key = flat[take] * len(texts) + np.repeat(doc, times)
+    del take
     order = np.argsort(key, kind="stable")
     key, n = key[order], np.repeat(n, times)[order]
     if not len(key):
