@@ -426,6 +426,44 @@ def test_repeats_of_all_lengths_and_places(spark):
     assert got == sorted(brute_repeats(rows), key=repr)
 
 
+def test_repeats_of_a_passage_that_recurs_in_its_document(spark):
+    rng = random.Random(12)
+    rows = []
+    for k, n in enumerate((60, 100, 400)):
+        a, b, c, d, p = (prose(rng, 90)[:m] for m in (200, 200, 200, 200, n))
+        rows += [(10 * k, a + p + b), (10 * k + 1, (c + p + d) * 3), (10 * k + 2, c + p + d), (10 * k + 1, "x" + (c + p + d) * 2), (None, (d + p + c) * 3)]
+    rows += [rows[1], (50, "y" * 300), (51, "z" + "y" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expect = sorted(brute_repeats(rows), key=repr)
+    assert collected(suffixes.dedup_digest(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect
+
+
+def test_contexts_go_on_over_batches_alike(monkeypatch):
+    rng = np.random.default_rng(6)
+    table = np.unique(np.stack([rng.integers(0, 12, 600), rng.integers(0, 3, 600), rng.integers(0, 4, 600), rng.integers(0, 40, 600)], 1), axis=0).astype(np.uint64)
+    key, rest = table[:, 0] << X.U(16), (table[:, 1] << X.U(32)) | (table[:, 3] << X.U(6)) | X.U(1)
+    key[table[:, 0] > 8] = np.arange((table[:, 0] > 8).sum()).astype(np.uint64) // X.U(9) + X.U(9) << X.U(16)
+    rest[table[:, 0] > 8] &= X.U(0xFFFFFFFF)  # anchors of one content
+    order = np.lexsort([table[:, 2], rest >> X.U(32), key])
+    columns = [pa.array(x[order]) for x in (key.view(np.int64), rest.view(np.int64), table[:, 2].astype(np.int64), np.zeros(len(key), np.int32))]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "rest", "doc", "copy"])
+    rows = list(zip(*(c.to_pylist() for c in columns[:3])))
+    least, contents = {}, {}
+    for k, r, d in rows:
+        least[k, r >> 32] = min(d, least.get((k, r >> 32), d))
+        contents.setdefault(k >> 16, set()).add(r >> 32)
+    repeat = sorted((d, (r >> 6) & 63) for k, r, d in rows if d > least[k, r >> 32])
+    on = sorted((k >> 16, d, (r >> 6) & 63) for k, r, d in rows if d == least[k, r >> 32] and len(contents[k >> 16]) > 1)
+    for size in (1, 2, 7, 50, 1000):
+        out = [x for b in suffixes._classes(batch.slice(k, size) for k in range(0, len(rows), size)) for x in b.to_pylist()]
+        assert sorted((x["doc"], x["start"]) for x in out if x["anchor"] is None) == repeat
+        assert sorted((x["anchor"], x["doc"], x["start"]) for x in out if x["anchor"] is not None) == on
+    monkeypatch.setattr(suffixes, "WAITING", 2)
+    out = [x for b in suffixes._classes(batch.slice(k, 2) for k in range(0, len(rows), 2)) for x in b.to_pylist()]
+    assert sorted((x["doc"], x["start"]) for x in out if x["anchor"] is None) == repeat
+    assert set(on) <= {(x["anchor"], x["doc"], x["start"]) for x in out}
+
+
 def test_suffix_array_orders_suffixes():
     rng = np.random.default_rng(4)
     for alphabet in (1, 2, 3, 200):
