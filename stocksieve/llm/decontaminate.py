@@ -1,6 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters and digits, A-Z as a-z.  Documents and benchmark
+Tokens are runs of letters, digits and their marks, composed and case-folded by
+Unicode; punctuation, symbols and spaces of any script part them and invisible
+format characters do not count.  Documents and benchmark
 items are joined on shared seeds (``SEED`` consecutive tokens).  For each pair
 that shares a seed the longest common run of unmarked tokens is found by
 running Karp-Rabin (hashes of runs of a given length, the length falling from
@@ -20,6 +22,8 @@ taken from the left; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +36,35 @@ COVERAGE = 0.6
 BLOCK_TOKENS = 1 << 20
 
 
+class _Signs(dict):
+    """What ``str.translate`` makes of a character beyond ASCII: separators a
+    space, format characters nothing."""
+
+    def __missing__(self, code: int):
+        kind = unicodedata.category(chr(code)) if code > 127 else "L"
+        self[code] = None if kind == "Cf" else " " if kind[0] in "PSZ" or kind == "Cc" else code
+        return self[code]
+
+
+_SIGNS = _Signs()
+
+
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in folded case with their offsets."""
+    raw = data.tobytes()
+    if raw.isascii():
+        return X.LOWER[data], offsets
+    rows = []
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        row = raw[a:b]
+        if not row.isascii():
+            row = unicodedata.normalize("NFC", row.decode("utf-8", "replace").casefold()).translate(_SIGNS).encode()
+        rows.append(row.lower())
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = X.LOWER[data]
+    low, offsets = folded(data, offsets)
     starts, ends, rows = X.word_bounds(low, offsets, X.PUNCT)
     return X.word_hashes(low, starts, ends), rows
 

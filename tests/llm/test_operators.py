@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -335,6 +336,20 @@ def test_leaks_planted_and_clean(spark):
     assert decontaminate.drop_leaks(d.limit(0), b).count() == 0
 
 
+def test_leaks_in_other_case_with_accents_and_signs(spark):
+    rng = random.Random(14)
+    letters = ["añ", "ció", "é", "ü", "straße", "la", "çu", "ö", "ñ", "œ", "и", "σ"]
+    words = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(40)]
+    items = [(0, " ".join(words[:20])), (1, " ".join(words[20:]))]
+    around = prose(rng, 20)
+    docs = [(0, f"{around} {items[0][1].upper()} {around}"), (1, around + " “" + "” — «".join(words[20:]) + "»… " + around),
+            (2, unicodedata.normalize("NFD", items[0][1].title())), (3, "\u00a0".join(w[:1] + "\u00ad" + w[1:] for w in words[20:])), (4, around),
+            (5, " ".join(words[::-1]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert collected(decontaminate.leaks(d, b), "doc_id", "item_id", "matched", "coverage") == [(0, 0, 20, 1.0), (1, 1, 20, 1.0), (2, 0, 20, 1.0), (3, 1, 20, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(d, b).collect()) == [4, 5]
+
+
 # ---- op6
 
 def test_token_counts_match_the_library(docs, spark, nothing):
