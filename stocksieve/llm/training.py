@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HELD_OUT_FOLDS, HELD_OUT = 4, 2
+BUCKET_BITS = 12  # of the hash, of which rows are counted before the smallest are taken
 
 
 def held_out(doc_id: Column) -> Column:
@@ -22,6 +23,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold, F.lit(True))
 
 
+def near_smallest(ids: DataFrame, per_label: int) -> DataFrame:
+    """Of each label the ``per_label`` rows of smallest ``rank_by`` and no more
+    others than a few buckets of ``rank_by`` hold, found by counts alone."""
+    bucket = F.shiftright("rank_by", 64 - BUCKET_BITS)  # rises with rank_by
+    counts = ids.groupBy("label", bucket.alias("bucket")).count()
+    before = F.sum("count").over(Window.partitionBy("label").orderBy("bucket")) - F.col("count")
+    wanted = counts.withColumn("before", before).where(F.col("before") < per_label).select("label", "bucket")
+    # at most 2 ** BUCKET_BITS rows a label, whatever the corpus
+    return ids.withColumn("bucket", bucket).join(F.broadcast(wanted), ["label", "bucket"], "left_semi").select(*ids.columns)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, per_label: int | None = None) -> DataFrame:
     """``(doc_id, text, label)`` of at most ``max_rows`` rows outside the
     held-out fold: those with the smallest hash of the id, of each label value
@@ -32,7 +44,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
            .groupBy("doc_id").agg(F.max("label").alias("label"))
            .withColumn("rank_by", F.xxhash64("doc_id")))
     if per_label:
-        ids = (ids.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("rank_by", "doc_id")))
+        ids = (near_smallest(ids, per_label).withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("rank_by", "doc_id")))
                .where(F.col("nth") <= per_label).drop("nth"))
     ids = ids.orderBy("rank_by", "doc_id").limit(max_rows)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())

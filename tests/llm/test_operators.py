@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stocksieve.llm import (decontaminate, jaccard, langid, lines, mixing, ordinal, suffixes, text as X, tokens, toxicity,
-                            urlrules)
+                            training, urlrules)
 from stocksieve.llm.components import components, scratch, staged
 from stocksieve.llm.sketch import presence, present
 
@@ -294,6 +294,21 @@ def test_quality_orders_grades(spark):
     assert len(cuts) == 2 and cuts[0] < cuts[1]
 
 
+def test_sample_numbers_few_rows_of_a_frequent_label(spark):
+    rows = [(k, "t", "en" if k % 10 else ["de", "fr"][k % 20 // 10]) for k in range(20000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    ranked = df.select("doc_id", F.col("lang").alias("label"), F.xxhash64("doc_id").alias("rank_by"))
+    near = training.near_smallest(ranked, 50).groupBy("label").count().collect()
+    assert {r.label for r in near} == {"en", "de", "fr"} and all(50 <= r["count"] < 100 for r in near)
+    best = {}
+    for r in ranked.where(~training.held_out(F.col("doc_id"))).orderBy("rank_by", "doc_id").collect():
+        best.setdefault(r.label, []).append((r.rank_by, r.doc_id, r.label))
+    for per_label, most in ((50, 1000), (50, 70), (1, 9), (100000, 15000)):
+        expect = sorted(x for v in best.values() for x in v[:per_label])[:most]
+        got = training.labelled_sample(df, df, "lang", most, per_label)
+        assert collected(got, "doc_id", "label") == sorted(((d, w) for _, d, w in expect), key=repr)
+
+
 def test_classifiers_without_labels(spark, nothing):
     docs, labels = labelled(spark)
     none = labels.where("doc_id > 10000")
