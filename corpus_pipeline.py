@@ -39,7 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("repeats", cut_repeats), ("leaks", drop_leaks), ("mix", mix)]
 
-#: training, components and byte cuts have no SQL; tests hold run() against a brute-force version
+#: training, components and byte cuts have no SQL; tests run the stages one by one and hold repeats only to a
+#: brute-force bound on each text's length, the others to rows dropped and unchanged; none calls run()
 ORACLE_SQL = None
 
 
