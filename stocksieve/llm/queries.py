@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, langid, lines, mixing, ordinal, suffixes, tokens, toxicity, urlrules
+from . import decontaminate, jaccard, langid, lines, mixing, ordinal, suffixes, tokens, toxicity, urlrules, vectorcodes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_mix": op2_mix,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
+    "op13_codes": op13_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -116,4 +121,32 @@ f as (select doc_id, cast(len(words) as bigint) as n_words,
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     not base_failed and not ((word_chars - kept_chars) * 100 > word_chars * 50) as kept, n_bad_lines, kept_chars from f"""
 
-ORACLES: dict[str, str] = {"op2_mix": MIX_SQL, "op7_lines": LINES_SQL}
+CODES_START = """
+with kept as (select vec_id, label, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 1024) as bigint)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+parts as (select vec_id, label, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] as x from kept, (select unnest(range(4)) as part)),
+b0 as (select part, entry, x as e from (select part, row_number() over (partition by part order by vec_id) - 1 as entry, x from parts) where entry < 256)"""
+
+CODES_NEAREST = """
+a{k} as (select p.vec_id, p.part, any_value(p.label) as label, any_value(p.x) as x,
+    min(cast(list_sum(list_transform(list_zip(p.x, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) * 256 + b.entry) as best
+    from parts p join b{k} b on p.part = b.part group by p.vec_id, p.part)"""
+
+CODES_ROUND = """
+m{k} as (select part, entry, i, cast(floor(cast(sum(c) as double) / count(*)) as bigint) as c
+    from (select part, best % 256 as entry, unnest(x) as c, unnest(range(len(x))) as i from a{k}) group by part, entry, i),
+b{n} as (select b.part, b.entry, coalesce(m.e, b.e) as e from b{k} b
+    left join (select part, entry, list(c order by i) as e from m{k} group by part, entry) m on b.part = m.part and b.entry = m.entry)"""
+
+CODES_END = """
+codes as (select vec_id, any_value(label) as label, string_agg(printf('%02x', best % 256), '' order by part) as code,
+    cast(sum(best // 256) as bigint) as error from a4 group by vec_id),
+sums as (select label, cast(sum(error) as bigint) as label_error from codes group by label),
+books as (select sha256(string_agg(array_to_string(e, ','), ',' order by part, entry)) as codebooks_sha256 from b4)
+select c.vec_id, c.code, c.error, c.label, s.label_error, books.codebooks_sha256
+from codes c join sums s on c.label is not distinct from s.label, books"""
+
+CODES_SQL = ",".join([CODES_START, *[x.format(k=k, n=k + 1) for k in range(4) for x in (CODES_NEAREST, CODES_ROUND)],
+                      CODES_NEAREST.format(k=4), CODES_END])
+
+ORACLES: dict[str, str] = {"op2_mix": MIX_SQL, "op7_lines": LINES_SQL, "op13_codes": CODES_SQL}
