@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, langid, lines, mixing, ordinal, spelling, suffixes, tokens, toxicity, urlrules, vectorcodes
+from . import contextmix, decontaminate, jaccard, langid, lines, mixing, ordinal, spelling, suffixes, tokens, toxicity, urlrules, vectorcodes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextmix.mixing_scores(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
+    "op11_mixing": op11_mixing,
     "op12_spelling": op12_spelling,
     "op13_codes": op13_codes,
     "pipeline": corpus_pipeline.run,
