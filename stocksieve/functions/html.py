@@ -8,29 +8,20 @@ contain tag-like text.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .markup import element, has_class, has_value, hrefs
 from .text import ColumnOrName, _c, strip_ws
 
 _NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
 
-def _has_any(x: Column, needles: list[str]) -> Column:
-    out = F.lit(False)
-    for n in needles:
-        out = out | x.contains(n)
-    return out
-
-
 def strip_noise(html: ColumnOrName) -> Column:
-    """Drop scripts, styles and comments.  The regex only runs on bodies
-    that contain one of them (a plain substring test first)."""
+    """Drop scripts, styles and comments, in any spelling.  The long pattern
+    only runs on bodies that contain one of them."""
     h = _c(html)
-    risky = _has_any(h, ["<script", "<SCRIPT", "<Script", "<style", "<STYLE", "<Style", "<!--"])
-    return F.when(risky, F.regexp_replace(h, _NOISE, "")).otherwise(h)
+    return F.when(h.rlike(r"(?i)<(?:script|style)\b|<!--"), F.regexp_replace(h, _NOISE, "")).otherwise(h)
 
 
 def _inner(tag: str) -> str:
@@ -52,14 +43,13 @@ def nth_table(html: ColumnOrName, ordinal: int) -> Column:
 
 
 def table_with_class(html: ColumnOrName, css_class: str) -> Column:
-    """Body of the first table whose class attribute equals ``css_class``."""
-    pat = r'(?is)<table\b[^>]*class="' + re.escape(css_class) + r'"[^>]*>(.*?)</table>'
-    return F.nullif(F.regexp_extract(strip_noise(html), pat, 1), F.lit(""))
+    """Body of the first table of a class (its whole class attribute or one of
+    its tokens); tables inside it stay whole."""
+    return F.nullif(element(strip_noise(html), "table", lambda t: has_class(t, css_class)), F.lit(""))
 
 
 def table_with_attr(html: ColumnOrName, attr: str, value: str) -> Column:
-    pat = r'(?is)<table\b[^>]*' + re.escape(attr) + r'="' + re.escape(value) + r'"[^>]*>(.*?)</table>'
-    return F.nullif(F.regexp_extract(strip_noise(html), pat, 1), F.lit(""))
+    return F.nullif(element(strip_noise(html), "table", lambda t: has_value(t, attr, value)), F.lit(""))
 
 
 def rows(table: ColumnOrName) -> Column:
@@ -90,20 +80,20 @@ def cells(row: ColumnOrName, tag: str = "td") -> Column:
 
 
 def links(html: ColumnOrName) -> Column:
-    """Every ``href`` of an anchor, in page order."""
-    return F.regexp_extract_all(_c(html), F.lit(r'<a\s+href="([^"]*)"'), 1)
+    """Target of every anchor, in page order."""
+    return hrefs(html)
 
 
 def div_with_id(html: ColumnOrName, div_id: str) -> Column:
-    pat = r'(?is)<div\b[^>]*id="' + re.escape(div_id) + r'"[^>]*>(.*?)</div>'
-    return F.regexp_extract(_c(html), pat, 1)
+    """Body of the div of that id, the divs inside it included."""
+    return element(strip_noise(html), "div", lambda t: has_value(t, "id", div_id))
 
 
 def page_links(html: ColumnOrName, div_id: str = "pages") -> Column:
-    """Distinct hrefs under ``div#pages``, sorted, the first one dropped
+    """Distinct targets under ``div#pages``, sorted, the first one dropped
     (it is the page being read)."""
-    hrefs = F.array_sort(F.array_distinct(links(div_with_id(html, div_id))))
-    return F.slice(hrefs, 2, F.greatest(F.size(hrefs) - 1, F.lit(0)))
+    targets = F.coalesce(F.array_sort(F.array_distinct(links(div_with_id(html, div_id)))), F.array().cast("array<string>"))
+    return F.slice(targets, 2, F.greatest(F.size(targets) - 1, F.lit(0)))
 
 
 def escape(s: ColumnOrName) -> Column:

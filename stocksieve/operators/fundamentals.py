@@ -125,16 +125,16 @@ INFO_SCHEMA = ("struct<website:string, industry:string, sector:string, fullTimeE
 
 def metadata(history_docs: DataFrame, info_docs: DataFrame) -> DataFrame:
     """Landed history-metadata JSON + info JSON (both keyed by
-    ``(doc_id, symbol)``) -> one typed metadata row per document: nested
+    symbol and day) -> one typed metadata row per document: nested
     fields flattened, unwanted keys dropped, info keys attached by a left
     join (absent -> null), names normalised, schema conformed."""
-    meta = history_docs.select("doc_id", "date_insert",
+    meta = history_docs.select(F.col("symbol").alias("of"), "date_insert",
                                F.from_json("body", HISTORY_METADATA_SCHEMA).alias("m"))
     meta = meta.withColumn("m", F.col("m").dropFields(*METADATA_DROP_KEYS))
-    flat = flatten(meta.select("doc_id", "date_insert", "m.*"))
-    info = info_docs.select("doc_id", F.from_json("body", INFO_SCHEMA).alias("i"))
-    info = info.select("doc_id", *[F.col("i").getField(k).alias(k) for k in INFO_KEYS])
-    joined = flat.join(info, "doc_id", "left").drop("doc_id")
+    flat = flatten(meta.select("of", "date_insert", "m.*"))
+    info = info_docs.select(F.col("symbol").alias("of"), "date_insert", F.from_json("body", INFO_SCHEMA).alias("i"))
+    info = info.select("of", "date_insert", *[F.col("i").getField(k).alias(k) for k in INFO_KEYS])
+    joined = flat.join(info, ["of", "date_insert"], "left").drop("of")
     return conform(normalise_columns(joined), schemas.METADATA)
 
 

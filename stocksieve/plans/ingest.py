@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..operators import screens as S
+from ..session import shared_path
 from ..sources import ingest as I
 from ..sources import landing as L
 from ..sources.fixtures import AS_OF_ORDERS, fixture, with_fixtures
@@ -168,10 +169,55 @@ select l.cik, l.accession_number, l.filing_date as trans_date, u.url
 from latest l join urls u on l.cik = u.cik and l.accession_number = u.accession_number"""))
 def q_13f_filing_details(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    latest = latest_filings(spark, t)
-    urls = I.info_table_url(L.filing_index_pages(fixture(spark, t, "fx_filings")))
-    return (latest.join(urls, ["cik", "accession_number"], "inner")
-                  .select("cik", "accession_number", F.col("filing_date").alias("trans_date"), "url"))
+    # pages are joined by key before any of them is parsed
+    pages = L.filing_index_pages(fixture(spark, t, "fx_filings")).join(latest_filings(spark, t), ["cik", "accession_number"])
+    return pages.select("cik", "accession_number", F.col("filing_date").alias("trans_date"), I.info_table_link(F.col("html")).alias("url"))
+
+
+SITE_HOLDINGS_SQL = """
+, newest as (
+  select cik, accession_number, filing_date, filing_key from (
+    select *, row_number() over (partition by cik order by filing_date desc, accession_number desc) as rn
+    from fx_edgar_filings
+    where form = '13F-HR'
+      and cik in (select lpad(cast(c_custkey as varchar), 10, '0') from customer where c_mktsegment = 'BUILDING'))
+  where rn = 1)
+select distinct n.cik, n.accession_number, h.name_of_issuer || ' & Co <A>' as name_of_issuer, 'COM' as title_of_class, h.cusip,
+       case when h.prn_amt % 2 = 1 then 'BBG' || h.cusip end as figi, h.value, h.prn_amt, 'SH' as prn,
+       cast(null as varchar) as put_call, 'SOLE' as discretion, cast(null as varchar) as manager,
+       h.prn_amt as voting_sole, cast(0 as bigint) as voting_shared, cast(0 as bigint) as voting_none, n.filing_date as trans_date
+from newest n join fx_edgar_holdings h on n.filing_key = h.filing_key
+where n.filing_key % 3 <> 0"""
+
+
+@query("q_13f_holdings_chain", with_fixtures(["fx_edgar_filings", "fx_edgar_holdings"], SITE_HOLDINGS_SQL))
+def q_13f_holdings_chain(spark, sf_dir):
+    """Filing indexes of the listed funds -> newest filing of each -> its index
+    page -> its information table -> holdings, over a landed copy of the site."""
+    t = Tables(spark, sf_dir)
+    filings = fixture(spark, t, "fx_edgar_filings")
+    site = landed(spark, L.edgar_site(filings, fixture(spark, t, "fx_edgar_holdings")))
+    indexed = I.parse_filing_index(L.filing_index_json(filings))
+    latest = I.latest_filing(indexed.join(I.parse_cik_lists(L.cik_lists(t.customer)), "cik", "left_semi"))
+    good, _bad = I.filing_holdings(latest, site)
+    return good
+
+
+def landed(spark, site):
+    """The site's bodies as the fetchers leave them: files in the landing
+    folder, one directory a kind."""
+    path = shared_path(spark, "landing", "site", unique=True)
+    site.write.partitionBy("kind").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("q_page_links", with_fixtures(["fx_insider"], """
+select date_insert, page, '/m/ins/ins.php?L=' || lpad(cast(page + 2 as varchar), 6, '0') as href
+from (select distinct date_insert, cast(floor(row_key / 100) as integer) as page from fx_insider)"""))
+def q_page_links(spark, sf_dir):
+    """Links to follow from each listing page."""
+    pages = L.insider_pages(fixture(spark, sf_dir, "fx_insider"))
+    return pages.select("date_insert", "page", F.explode(H.page_links("html")).alias("href"))
 
 
 @query("q_html_links", """

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.dates import home_filing_date, parse_day_month_year, text_date
+from ..functions.markup import first_href
 from ..functions.text import (dash_part, none_to_null, one_line, parse_count,
                               parse_number, strip_ws, title_case)
-from .landing import INFO_TABLE_SUMMARY, INSIDER_COLUMNS, SCREENER_TABLE_CLASS
+from .landing import INFO_TABLE_SUMMARY, INSIDER_COLUMNS, SCREENER_TABLE_CLASS, SITE, index_page_url
 
 # Fixed relationship abbreviations, applied in this order after title-casing.
 RELATIONSHIP_REPLACEMENTS = [
@@ -193,15 +194,18 @@ def latest_filing(filings: DataFrame, form: str = "13F-HR") -> DataFrame:
                          F.col("m.filing_date").alias("filing_date"))
 
 
-def info_table_url(index_pages: DataFrame, base: str = "https://www.sec.gov") -> DataFrame:
+def info_table_url(index_pages: DataFrame) -> DataFrame:
+    return index_pages.select("cik", "accession_number", info_table_link(F.col("html")).alias("url"))
+
+
+def info_table_link(html: Column, base: str = SITE) -> Column:
     """Link of the row mentioning "information table" in the ``tableFile``
-    table of each filing index page; null when the row or table is absent."""
-    rows = H.rows(H.table_with_class("html", "tableFile"))
+    table of a filing's index page; null when the row, its link or the table is
+    absent."""
+    rows = H.rows(H.table_with_class(html, "tableFile"))
     # match on the row's visible text (markup and attribute values excluded)
     hit = F.filter(rows, lambda r: F.lower(H.cell_text(r)).contains("information table"))
-    href = F.regexp_extract(F.get(hit, 0), r'<a\s+href="([^"]*)"', 1)
-    url = F.when(F.get(hit, 0).isNotNull(), F.concat(F.lit(base), href))
-    return index_pages.select("cik", "accession_number", url.alias("url"))
+    return F.concat(F.lit(base), first_href(F.get(hit, 0)))
 
 
 def parse_holdings(raw: DataFrame) -> DataFrame:
@@ -243,6 +247,65 @@ def clean_holdings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.dropDuplicates(), bad
 
 
+# row schema of a real information table (fixed names of the filing format)
+INFO_XML_SCHEMA = ("struct<infoTable:array<struct<nameOfIssuer:string, titleOfClass:string, cusip:string, figi:string, value:string, "
+                   "shrsOrPrnAmt:struct<sshPrnamt:string, sshPrnamtType:string>, putCall:string, investmentDiscretion:string, otherManager:string, "
+                   "votingAuthority:struct<Sole:string, Shared:string, None:string>>>>")
+
+
+def info_xml_rows(body: Column) -> Column:
+    """A real XML information table -> its rows as 13 landed cells."""
+    r = F.from_xml(body, INFO_XML_SCHEMA, {"ignoreNamespace": "true"})
+    paths = ["nameOfIssuer", "titleOfClass", "cusip", "figi", "value", "shrsOrPrnAmt.sshPrnamt", "shrsOrPrnAmt.sshPrnamtType", "putCall",
+             "investmentDiscretion", "otherManager", "votingAuthority.Sole", "votingAuthority.Shared", "votingAuthority.None"]
+
+    def cell(x: Column, path: str) -> Column:
+        for name in path.split("."):
+            x = x[name]
+        return x
+
+    return F.transform(r["infoTable"], lambda x: F.array(*[cell(x, p) for p in paths]))
+
+
+def info_html_rows(body: Column, header_rows: int = 3) -> Column:
+    """An information table landed as HTML -> its rows as landed cells (12 or
+    13), header rows skipped."""
+    rows = H.rows(H.table_with_attr(body, "summary", INFO_TABLE_SUMMARY))
+    rows = F.slice(rows, header_rows + 1, F.greatest(F.size(rows), F.lit(1)))
+    return F.transform(rows, lambda r: F.transform(H.cells(r), lambda c: F.nullif(c, F.lit(""))))
+
+
+def info_rows(body: Column) -> Column:
+    """Rows of an information table in either form."""
+    return F.when(body.contains("<informationTable"), info_xml_rows(body)).otherwise(info_html_rows(body))
+
+
+def filing_holdings(filings: DataFrame, site: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The filing chain: ``filings (cik, accession_number, filing_date)`` ->
+    their index pages -> the link in each -> the information table -> holdings
+    (typed rows, and the rows of other widths).
+
+    ``site (url, kind, body)`` is everything landed.  Bodies are fetched by
+    joining addresses, and only what a join kept is parsed: an index page of a
+    wanted filing, a table that such a page links to."""
+    def fetched(wanted: DataFrame, kind: str) -> DataFrame:
+        pages = site.where(F.col("kind") == kind).select(F.col("url").alias("page_url"), "body")
+        return wanted.join(pages, F.col("url") == F.col("page_url")).drop("url", "page_url")
+
+    wanted = filings.select("cik", "accession_number", "filing_date", index_page_url(F.col("cik"), F.col("accession_number")).alias("url"))
+    linked = fetched(wanted, "index").withColumn("url", info_table_link(F.col("body"))).drop("body").where(F.col("url").isNotNull())
+    tables = fetched(linked, "table").select("cik", "accession_number", "filing_date", F.explode(info_rows(F.col("body"))).alias("cells"))
+    day = F.date_format("filing_date", "yyyy-MM-dd")
+    raw = tables.select(F.concat_ws(" ", "cik", "accession_number").alias("fund_name"), day.alias("filing_date"), F.col("filing_date").alias("date_insert"), "cells")
+    good, bad = clean_holdings(raw)
+
+    def named(df: DataFrame) -> DataFrame:
+        ids = F.split("fund_name", " ")
+        return df.select(F.get(ids, F.lit(0)).alias("cik"), F.get(ids, F.lit(1)).alias("accession_number"), *HOLDING_COLUMNS, "trans_date")
+
+    return named(good), named(bad)
+
+
 # ---------------------------------------------------------------- typed inputs
 
 def clean_insider_typed(typed: DataFrame) -> DataFrame:

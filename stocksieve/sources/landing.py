@@ -4,9 +4,8 @@ The pipeline's real inputs are web pages, JSON filing indexes and 13F
 information tables fetched elsewhere and landed as text.  These renderers
 produce such landing tables from the fixture views, so the parsers in
 ``ingest`` can be checked by round trip against the typed fixture (the
-oracle side).  Pages hold a bounded slice of rows: the page key is a hash
-bucket whose count is derived from a row count, never a whole table in one
-row.
+oracle side).  A page holds the rows of a range of row keys, so its size has a
+bound whatever the rows' values are, and no row count is needed to lay it out.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import render_row
+from ..functions.html import escape, render_row
 
 INSIDER_COLUMNS = ["filing", "symbol", "security", "reporting_name", "relationship", "trans_date",
                    "purchase_sale", "shares", "price", "amount", "di"]
@@ -25,15 +24,19 @@ SCREENER_TABLE_CLASS = "styled-table-new is-rounded is-tabular-nums w-full scree
 INFO_TABLE_SUMMARY = "Form 13F-NT Header Information"
 
 
-def page_bucket(cols: list[str], buckets: int) -> Column:
-    """Deterministic page number in ``[0, buckets)`` from row content."""
-    return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
+SITE = "https://www.sec.gov"
 
 
-def buckets_for(df: DataFrame, rows_per_page: int) -> int:
-    """Page count so that a page holds about ``rows_per_page`` rows (one
-    distributed count; pages never grow with the table)."""
-    return max(1, -(-df.count() // rows_per_page))
+def index_page_url(cik: Column, accession_number: Column) -> Column:
+    """Address of a filing's index page (its folder is the accession number
+    without dashes)."""
+    folder = F.replace(accession_number, F.lit("-"), F.lit(""))
+    return F.concat(F.lit(f"{SITE}/Archives/edgar/data/"), cik, F.lit("/"), folder, F.lit("/"), accession_number, F.lit("-index.htm"))
+
+
+def page_of(rows_per_page: int, key: str = "row_key") -> Column:
+    """Page number: the place of the row's key range."""
+    return F.floor(F.col(key) / rows_per_page).cast("int")
 
 
 def _pages(rows: DataFrame, key_cols: list[str], body: str = "row_html") -> DataFrame:
@@ -60,15 +63,13 @@ def insider_pages(fx_insider: DataFrame, rows_per_page: int = 100) -> DataFrame:
         F.col("purchase_sale"), _fmt_int(F.col("shares")), F.col("price"), _fmt_int(F.col("amount")),
         F.col("di"),
     ]
-    buckets = buckets_for(fx_insider, rows_per_page)
-    rows = fx_insider.select(
-        "date_insert",
-        page_bucket(["symbol", "reporting_name", "trans_date", "amount", "shares", "di"], buckets).alias("page"),
-        render_row(cells).alias("row_html"))
+    rows = fx_insider.select("date_insert", page_of(rows_per_page).alias("page"), render_row(cells).alias("row_html"))
     pages = _pages(rows, ["date_insert", "page"])
-    nav = F.concat(F.lit('<div id="pages"><a href="/m/ins/ins.php?L='), F.col("page").cast("string"),
-                   F.lit('">this</a><a href="/m/ins/ins.php?L='), (F.col("page") + 1).cast("string"),
-                   F.lit('">next</a></div>'))
+    here, after = (F.concat(F.lit("/m/ins/ins.php?L="), F.lpad((F.col("page") + k).cast("string"), 6, "0")) for k in (1, 2))
+    # links in every order and quote, in divs of their own, one twice
+    nav = F.concat(F.lit("<div class='top'><a href=\"/m/home.php\">Home</a></div><div class=\"nav\" id='pages'><div class=\"now\"><a href=\""), here,
+                   F.lit("\">this</a></div><div><a class='next' href='"), after, F.lit("'>next</a><a href="), after,
+                   F.lit(">&gt;</a></div></div><div><a href='/m/foot.php'>Foot</a></div>"))
     html = F.concat(
         F.lit("<html><head><script>var t='<table>';</script></head><body>"), nav,
         F.lit("<table id=\"menu\"><tr><td>Menu</td></tr></table>"),
@@ -85,28 +86,21 @@ def home_pages(fx_home_insider: DataFrame, fx_bigbets: DataFrame, fx_lows: DataF
     1 filler, 2 big bets, 3 52-week lows, 4 super-investor buys.  Company
     cells read ``TICK - Name``."""
     day = F.col("date_insert")
-    # one job counts all four sources; the largest sets the page count
-    tagged = [d.select(F.lit(i).alias("src")) for i, d in enumerate((fx_home_insider, fx_bigbets, fx_lows, fx_super))]
-    union = tagged[0]
-    for d in tagged[1:]:
-        union = union.unionByName(d)
-    largest = max([r["count"] for r in union.groupBy("src").count().collect()] or [0])
-    buckets = max(1, -(-largest // rows_per_page))
     home = fx_home_insider.select(
-        "date_insert", page_bucket(["company", "date_filling", "total_value", "price"], buckets).alias("page"),
+        "date_insert", page_of(rows_per_page).alias("page"),
         render_row([
             F.when(F.col("date_filling").cast("date") == day, F.lit("Today"))
              .otherwise(F.date_format(F.col("date_filling").cast("date"), "dd MMM")),
             F.col("company"), _fmt_int(F.col("total_value").cast("bigint")), F.col("price"),
         ]).alias("row_html"))
     big = fx_bigbets.select(
-        "date_insert", page_bucket(["ticker", "company", "percent_owned", "count"], buckets).alias("page"),
+        "date_insert", page_of(rows_per_page).alias("page"),
         render_row([F.concat_ws(" - ", "ticker", "company"), F.col("percent_owned"), F.col("count")]).alias("row_html"))
     low = fx_lows.select(
-        "date_insert", page_bucket(["ticker", "company", "percent_owned"], buckets).alias("page"),
+        "date_insert", page_of(rows_per_page).alias("page"),
         render_row([F.concat_ws(" - ", "ticker", "company"), F.col("percent_owned")]).alias("row_html"))
     sup = fx_super.select(
-        "date_insert", page_bucket(["company", "count", "total_amount"], buckets).alias("page"),
+        "date_insert", page_of(rows_per_page).alias("page"),
         render_row([F.col("company"), F.col("count"), F.col("total_amount")]).alias("row_html"))
 
     def part(df: DataFrame, name: str) -> DataFrame:
@@ -129,9 +123,8 @@ def home_pages(fx_home_insider: DataFrame, fx_bigbets: DataFrame, fx_lows: DataF
 def screener_pages(fx_finviz: DataFrame, rows_per_page: int = 20) -> DataFrame:
     """Screener result pages: one classed table whose ``td`` cells, read in
     order, are 11 per row (leading row index first)."""
-    buckets = buckets_for(fx_finviz, rows_per_page)
     rows = fx_finviz.select(
-        "date_insert", page_bucket(["ticker", "company", "sector", "industry", "market_cap", "pe"], buckets).alias("page"),
+        "date_insert", page_of(rows_per_page).alias("page"),
         F.concat(F.lit("<tr>"), *[
             F.concat(F.lit("<td>"), F.coalesce(c, F.lit("")), F.lit("</td>")) for c in [
                 F.lit("1"), F.col("ticker"), F.col("company"), F.col("sector"), F.col("industry"),
@@ -147,9 +140,8 @@ def screener_pages(fx_finviz: DataFrame, rows_per_page: int = 20) -> DataFrame:
 def magic_pages(fx_magic: DataFrame, rows_per_page: int = 30) -> DataFrame:
     """Screening result pages: the second ``tbody`` lists company, ticker,
     market cap."""
-    buckets = buckets_for(fx_magic, rows_per_page)
     rows = fx_magic.select(
-        "date_insert", page_bucket(["company", "ticker", "market_cap"], buckets).alias("page"),
+        "date_insert", page_of(rows_per_page).alias("page"),
         render_row([F.col("company"), F.col("ticker"), F.col("market_cap")]).alias("row_html"))
     pages = _pages(rows, ["date_insert", "page"])
     html = F.concat(F.lit("<html><body><table><tbody><tr><td>Login</td></tr></tbody></table>"),
@@ -173,14 +165,16 @@ def holdings_cells(fx_sec_13f: DataFrame) -> DataFrame:
     wide = F.array(*head, F.concat(F.lit("BBG"), F.col("cusip")), *tail)
     narrow = F.array(*head, *tail)
     return fx_sec_13f.select(
-        "fund_name", F.date_format("trans_date", "yyyy-MM-dd").alias("filing_date"), "date_insert",
+        "fund_name", F.date_format("trans_date", "yyyy-MM-dd").alias("filing_date"), "date_insert", "row_key",
         F.when(F.col("prn_amt") % 2 == 1, wide).otherwise(narrow).alias("cells"))
 
 
-def filing_index_json(fx_filings: DataFrame) -> DataFrame:
-    """Per CIK and filing year, a filing-index document whose
+def filing_index_json(fx_filings: DataFrame, filings_per_page: int = 50_000) -> DataFrame:
+    """Per CIK, filing year and key range, a filing-index document whose
     ``filings.recent`` holds parallel arrays (newest first)."""
-    grouped = (fx_filings.groupBy("cik", F.year("filing_date").alias("year"))
+    # a document lists the filings of a range of accession numbers
+    block = F.floor(F.substring_index("accession_number", "-", -1).cast("bigint") / filings_per_page).alias("block")
+    grouped = (fx_filings.groupBy("cik", F.year("filing_date").alias("year"), block)
                .agg(F.sort_array(F.collect_list(F.struct(
                    F.col("filing_date"), F.col("accession_number"), F.col("form"))), asc=False).alias("f")))
     recent = F.struct(
@@ -191,21 +185,54 @@ def filing_index_json(fx_filings: DataFrame) -> DataFrame:
     return grouped.select("cik", "year", F.to_json(doc).alias("body"))
 
 
+def _index_page(cik: Column, accession_number: Column, key: Column) -> Column:
+    """Filing index page: a ``tableFile`` table whose row mentioning the
+    information table links to it; every third filing has no such row.  The
+    class is one token of several, quotes and the order of attributes vary."""
+    folder = F.concat(F.lit("/Archives/edgar/data/"), cik, F.lit("/"), F.replace(accession_number, F.lit("-"), F.lit("")), F.lit("/"))
+    plain, mixed = '<table class="tableFile" summary="Document Format Files">', "<TABLE summary='Document Format Files' class='wide tableFile x'>"
+    head = F.when(key % 2 == 0, plain).otherwise(mixed)
+    link = F.when(key % 4 < 2, F.concat(F.lit('<a href="'), folder, F.lit('infotable.xml">'))) \
+            .otherwise(F.concat(F.lit("<a id='i>2' class=doc HREF='"), folder, F.lit("infotable.xml'>")))
+    info = F.concat(F.lit("<tr><td>2</td><td>INFORMATION TABLE</td><td>"), link, F.lit("infotable.xml</a></td><td>INFORMATION TABLE</td></tr>"))
+    primary = F.concat(F.lit("<tr><td>1</td><td>Primary doc</td><td><a href=\""), folder, F.lit("primary.xml\">primary.xml</a></td><td>13F-HR</td></tr>"))
+    return F.concat(F.lit("<html><body>"), head, F.lit("<tr><th>Seq</th><th>Description</th><th>Document</th><th>Type</th></tr>"),
+                    primary, F.when(key % 3 != 0, info).otherwise(F.lit("")), F.lit("</table></body></html>"))
+
+
 def filing_index_pages(fx_filings: DataFrame) -> DataFrame:
-    """Filing index page per filing: a ``tableFile`` table whose row
-    mentioning the information table links to it; every third filing has
-    no such row."""
     acc = F.col("accession_number")
-    doc_href = F.concat(F.lit("/Archives/edgar/data/"), F.col("cik"), F.lit("/"), acc, F.lit("/infotable.xml"))
-    info_row = F.concat(F.lit("<tr><td>2</td><td>INFORMATION TABLE</td><td><a href=\""), doc_href,
-                        F.lit("\">infotable.xml</a></td><td>INFORMATION TABLE</td></tr>"))
-    primary = F.concat(F.lit("<tr><td>1</td><td>Primary doc</td><td><a href=\"/Archives/edgar/data/"),
-                       F.col("cik"), F.lit("/"), acc, F.lit("/primary.xml\">primary.xml</a></td><td>13F-HR</td></tr>"))
-    has_info = (acc.cast("bigint") % 3) != 0
-    body = F.concat(F.lit("<html><body><table class=\"tableFile\" summary=\"Document Format Files\">"
-                          "<tr><th>Seq</th><th>Description</th><th>Document</th><th>Type</th></tr>"),
-                    primary, F.when(has_info, info_row).otherwise(F.lit("")), F.lit("</table></body></html>"))
-    return fx_filings.select("cik", "accession_number", body.alias("html"))
+    return fx_filings.select("cik", "accession_number", _index_page(F.col("cik"), acc, acc.cast("bigint")).alias("html"))
+
+
+def edgar_site(filings: DataFrame, holdings: DataFrame) -> DataFrame:
+    """``(url, kind, body)`` of everything the filing site serves: the index
+    page of every filing and the information table of each that has holdings,
+    as XML for filings of even key, else as an HTML table (issuer names with
+    markup characters, numbers with thousands separators)."""
+    cik, acc, key = F.col("cik"), F.col("accession_number"), F.col("filing_key")
+    index = filings.select(index_page_url(cik, acc).alias("url"), F.lit("index").alias("kind"), _index_page(cik, acc, key).alias("body"))
+    name = F.concat("name_of_issuer", F.lit(" & Co <A>"))
+    amount, shares = F.col("value").cast("string"), F.col("prn_amt").cast("string")
+
+    def x(tag: str, value: Column) -> Column:
+        return F.concat(F.lit(f"<{tag}>"), escape(value), F.lit(f"</{tag}>"))
+
+    xml = F.concat(
+        F.lit("<infoTable>"), x("nameOfIssuer", name), x("titleOfClass", F.lit("COM")), x("cusip", F.col("cusip")),
+        F.when(F.col("prn_amt") % 2 == 1, x("figi", F.concat(F.lit("BBG"), "cusip"))).otherwise(F.lit("")), x("value", amount),
+        F.lit("<shrsOrPrnAmt>"), x("sshPrnamt", shares), F.lit("<sshPrnamtType>SH</sshPrnamtType></shrsOrPrnAmt>"),
+        F.lit("<investmentDiscretion>SOLE</investmentDiscretion><votingAuthority>"), x("Sole", shares), F.lit("<Shared>0</Shared><None>0</None></votingAuthority></infoTable>"))
+    cells = [name, F.lit("COM"), F.col("cusip"), F.when(F.col("prn_amt") % 2 == 1, F.concat(F.lit("BBG"), "cusip")), _fmt_int(F.col("value")), _fmt_int(F.col("prn_amt")),
+             F.lit("SH"), F.lit(""), F.lit("SOLE"), F.lit(""), shares, F.lit("0"), F.lit("0")]
+    # a filing lists the lines of one order
+    rows = holdings.groupBy("filing_key").agg(F.array_join(F.collect_list(F.when(key % 2 == 0, xml).otherwise(render_row(cells))), "").alias("rows"))
+    table = F.when(key % 2 == 0, F.concat(F.lit('<?xml version="1.0"?><informationTable>'), "rows", F.lit("</informationTable>"))).otherwise(
+        F.concat(F.lit(f"<html><body><table summary='{INFO_TABLE_SUMMARY}' border=0><tr><td>COLUMN 1</td></tr><tr><td>NAME OF ISSUER</td></tr><tr><td>(x$1000)</td></tr>"),
+                 "rows", F.lit("</table></body></html>")))
+    tables = rows.join(filings.select("filing_key", "cik", "accession_number"), "filing_key").select(
+        F.regexp_replace(index_page_url(cik, acc), "[^/]+$", "infotable.xml").alias("url"), F.lit("table").alias("kind"), table.alias("body"))
+    return index.unionByName(tables)
 
 
 def cik_lists(customer: DataFrame) -> DataFrame:
@@ -218,9 +245,8 @@ def cik_lists(customer: DataFrame) -> DataFrame:
 
 
 def metadata_docs(fx_metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per fixture row, a nested history-metadata JSON document and a flat
-    company-info JSON document (some info keys absent), sharing a doc id."""
-    doc_id = F.xxhash64("symbol", "industry", "sector", "fulltimeemployees").alias("doc_id")
+    """Per company, a nested history-metadata JSON document and a flat
+    company-info JSON document (some info keys absent), for its symbol and day."""
     period = F.struct(F.struct(F.lit(1).alias("start"), F.lit(2).alias("end")).alias("pre"),
                       F.struct(F.lit(3).alias("start"), F.lit(4).alias("end")).alias("regular"))
     hist = F.struct(
@@ -232,27 +258,23 @@ def metadata_docs(fx_metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit("max").alias("range"), F.array(F.lit("1d"), F.lit("5d")).alias("validRanges"))
     info = F.struct(F.col("industry"), F.col("sector"), F.col("fulltimeemployees").alias("fullTimeEmployees"),
                     F.lit("summary").alias("longBusinessSummary"))
-    history_docs = fx_metadata.select(doc_id, "symbol", "date_insert", F.to_json(hist).alias("body"))
-    info_docs = fx_metadata.select(doc_id, "symbol", F.to_json(info).alias("body"))
+    history_docs = fx_metadata.select("symbol", "date_insert", F.to_json(hist).alias("body"))
+    info_docs = fx_metadata.select("symbol", "date_insert", F.to_json(info).alias("body"))
     return history_docs, info_docs
 
 
-def info_table_pages(fx_sec_13f: DataFrame, rows_per_page: int = 200) -> DataFrame:
+def info_table_pages(fx_sec_13f: DataFrame, keys_per_page: int = 20_000) -> DataFrame:
     """13F information-table documents: one table with the header-summary
     attribute, three header rows, then one row of 12 or 13 cells per
     holding (a document has one width).  Keyed by fund and filing date."""
     cells = holdings_cells(fx_sec_13f)
-    # buckets per filing: rows / (rows_per_page * number of filings)
-    stats = fx_sec_13f.agg(F.count("*").alias("n"),
-                           F.count_distinct("fund_name", "trans_date", "date_insert").alias("k")).first()
-    buckets = max(1, -(-stats["n"] // (rows_per_page * max(stats["k"], 1))))
     width = F.size("cells")
     row = F.concat(F.lit("<tr>"), F.array_join(F.transform(
         "cells", lambda c: F.concat(F.lit("<td>"), F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")),
                                                                F.lit("<"), F.lit("&lt;")), F.lit("</td>"))), ""),
         F.lit("</tr>"))
     rows = cells.select("fund_name", "filing_date", "date_insert", width.alias("width"),
-                        F.pmod(F.xxhash64("cells"), F.lit(buckets)).alias("page"), row.alias("row_html"))
+                        page_of(keys_per_page).alias("page"), row.alias("row_html"))
     pages = _pages(rows, ["fund_name", "filing_date", "date_insert", "width", "page"])
     head = ("<tr><td>COLUMN 1</td><td>COLUMN 2</td></tr>"
             "<tr><td>NAME OF ISSUER</td><td>TITLE OF CLASS</td><td>CUSIP</td></tr>"
