@@ -51,10 +51,11 @@ ORDERS = 5
 BLOCKS = (16, 64, 64, 128, 256)  # of slots, by order
 BLOCK = 1 << 14
 HOT_SHARE = 1 << 17
-HELD_WORDS = 400_000
-HELD_WINDOWS = 4_000_000  # windows a task holds before it merges them or passes them on
+HELD_WORDS = 300_000
+HELD_WINDOWS = 2_000_000  # windows a task holds before it merges them or passes them on
 WINDOW_BYTES = 1 << 20  # bytes whose windows are made at once
-KNOWN_BITS = 22
+KNOWN_BITS = 21
+HELD_TOKENS = 100_000  # rows of tokens a task holds before it passes them on
 DELTA = 0.3  # added to both counts of a slot
 GATES = (ORDERS + 1) * 4 * 8
 RATE = 0.02
@@ -218,26 +219,34 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _vote(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of counts of 0s and 1s, and how sure they are."""
+    total = pair.sum(axis=1)
+    sure = np.where(total > 0, np.minimum(np.log2(np.maximum(total, 1)), 3), _UNSEEN).astype(np.uint8)
+    return np.log((pair[:, 1] + DELTA) / (pair[:, 0] + DELTA)), sure
+
+
 class Model:
     """Slots, gated weights and the map; all of a fixed size."""
 
-    def __init__(self, slots: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
-        self.slots = slots
+    def __init__(self, slots: np.ndarray | None, weights: np.ndarray | None = None, refined: np.ndarray | None = None,
+                 votes: np.ndarray | None = None, sure: np.ndarray | None = None):
+        self.slots, self.refined, self.votes, self.sure = slots, refined, votes, sure
         self.weights = weights if weights is not None else np.full((GATES, ORDERS + 1), 0.3) * ([1.0] * ORDERS + [0.0])
-        self.refined = refined
-        self.votes = self.sure = None
 
-    def ready(self) -> Model:
-        """With the vote of each slot and how sure it is laid out for scoring."""
-        total = self.slots.sum(axis=1, dtype=np.float32)
-        self.votes = np.log((self.slots[:, 1].astype(np.float32) + np.float32(DELTA)) / (self.slots[:, 0].astype(np.float32) + np.float32(DELTA)))
-        self.sure = np.where(total > 0, np.minimum(np.log2(np.maximum(total, 1)), 3), _UNSEEN).astype(np.uint8)
-        return self
+    def ready(self) -> tuple:
+        """What scoring needs: weights, map, and in place of a slot's counts its
+        vote and how sure it is."""
+        votes, sure = np.empty(len(self.slots), np.float16), np.empty(len(self.slots), np.uint8)
+        for a in range(0, len(votes), 1 << 18):
+            part = slice(a, a + (1 << 18))
+            votes[part], sure[part] = _vote(self.slots[part].astype(np.float32))
+        return self.weights, self.refined, votes, sure
 
     def bits(self, w: np.ndarray) -> Iterator[tuple]:
         """For each bit of the windows' last bytes: node, bit, votes and gate.
-        A model that isn't ready yet takes one occurrence of the window from
-        all counts."""
+        A model that still counts takes one occurrence of the window from all
+        counts."""
         left_out = self.votes is None
         byte = w & U(255)
         contexts = [_context(w & _MASK[k + 1], k) for k in range(1, ORDERS + 1)]
@@ -252,9 +261,7 @@ class Model:
                 if left_out:
                     pair = self.slots[slot].astype(np.float32)
                     pair[at, bit] = np.maximum(pair[at, bit] - 1, 0)
-                    votes[:, k] = np.log((pair[:, 1] + DELTA) / (pair[:, 0] + DELTA))
-                    total = pair.sum(axis=1)
-                    sure = np.where(total > 0, np.minimum(np.log2(np.maximum(total, 1)), 3), _UNSEEN).astype(np.uint8)
+                    votes[:, k], sure = _vote(pair)
                 else:
                     votes[:, k], sure = self.votes[slot], self.sure[slot]
                 known = sure != _UNSEEN
@@ -305,9 +312,9 @@ def _learned(shared):
     return learn
 
 
-def _map_rows(shared):
+def _map_rows(shared, weights):
     def count(batches):
-        model, counts = Model(*shared.value), np.zeros((256, STEPS, 2))
+        model, counts = Model(shared.value, weights), np.zeros((256, STEPS, 2))
         for batch in batches:
             w = batch.column("window").to_numpy(zero_copy_only=False).view(U)
             n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
@@ -337,10 +344,8 @@ def fit(docs: DataFrame) -> Model:
         sums = counted.mapInArrow(_learned(shared), "gate int, mass double, w array<double>").select("gate", "mass", part)
         for r in sums.groupBy("gate", "k").agg(F.sum("v").alias("v"), F.sum("mass").alias("mass")).collect():  # GATES * 6 rows
             model.weights[r.gate, r.k] = r.v / r.mass
-        shared.destroy()
-        shared = sc.broadcast((slots, model.weights))
         model.refined = np.zeros((256, STEPS, 2))
-        sums = counted.mapInArrow(_map_rows(shared), "node int, step int, bit int, n double").groupBy("node", "step", "bit").agg(F.sum("n").alias("n"))
+        sums = counted.mapInArrow(_map_rows(shared, model.weights), "node int, step int, bit int, n double").groupBy("node", "step", "bit").agg(F.sum("n").alias("n"))
         for r in sums.collect():  # at most 256 * STEPS * 2 rows
             model.refined[r.node, r.step, r.bit] = r.n
         shared.destroy()
@@ -377,7 +382,7 @@ _memory: list = []  # of a worker: the model broadcast last, and what it remembe
 def memory_of(shared: tuple) -> Memory:
     """The same memory for all tasks of a worker."""
     if not _memory or _memory[0] is not shared:
-        _memory[:] = [shared, Memory(Model(*shared[:3]).ready())]
+        _memory[:] = [shared, Memory(Model(None, *shared[:4]))]
     return _memory[1]
 
 
@@ -390,10 +395,14 @@ def _part(size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in _ROWS], schema=_ROWS)
 
 
+def _tokens(at: list, token: list, count: list) -> pa.RecordBatch:
+    return _part(len(at), row=pa.array(at, pa.int64()), token=pa.array(token, pa.binary()), n=pa.array(count, pa.int64()))
+
+
 def _scored(shared):
     """Documents to one row each and one for every token that isn't broadcast."""
     def score(batches):
-        recall, hot = memory_of(shared.value), shared.value[3]
+        recall, hot = memory_of(shared.value), shared.value[4]
         for batch in batches:
             rows, texts = batch.column("row").to_pylist(), batch.column("text")
             lm = np.zeros(len(rows))
@@ -420,10 +429,13 @@ def _scored(shared):
                 n_known.append(known)
                 base.append(sum_)
                 n_bytes.append(len(t.encode()))
+                if len(at) > HELD_TOKENS:
+                    yield _tokens(at, token, count)
+                    at, token, count = [], [], []
             yield _part(len(rows), row=batch.column("row"), doc_id=batch.column("doc_id"), n_bytes=pa.array(n_bytes, pa.int64()),
                         n_tokens=pa.array(n_tokens, pa.int64()), n_known=pa.array(n_known, pa.int64()), base_score=pa.array(base, pa.float64()), score=pa.array(lm))
             if at:
-                yield _part(len(at), row=pa.array(at, pa.int64()), token=pa.array(token, pa.binary()), n=pa.array(count, pa.int64()))
+                yield _tokens(at, token, count)
     return score
 
 
@@ -438,7 +450,7 @@ def mixing_scores(docs: DataFrame) -> DataFrame:
     hot = counts.where(F.col("c") * HOT_SHARE >= total)  # at most HOT_SHARE tokens
     logs = {bytes(r.token): float(np.log10((r.c + 0.5) / out_of)) for r in hot.toLocalIterator()}
     model = fit(learned)
-    shared = spark.sparkContext.broadcast((model.slots, model.weights, model.refined, logs))
+    shared = spark.sparkContext.broadcast((*model.ready(), logs))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = staged(rows.mapInArrow(_scored(shared), _ROWS_DDL), "mixing_scores")
     shared.destroy()
