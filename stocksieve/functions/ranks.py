@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_path
@@ -10,13 +10,18 @@ from ..session import shared_path
 
 def row_number_by_range(df: DataFrame, order: str, out: str) -> DataFrame:
     """Number the rows of ``df`` from 0 in ascending order of a column (null
-    last).  The frame is range-sorted and written once; a row's number is its
-    place in its partition plus the rows of the partitions before it, so the
-    only window runs over one row a partition.  Over distinct values this is
-    ``dense_rank() - 1``."""
+    last).  Over distinct values this is ``dense_rank() - 1``."""
+    return numbered(df, [F.col(order).asc_nulls_last()], out)
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Number the rows of ``df`` from 0 in a total order.  The frame is
+    range-sorted and written once; a row's number is its place in its partition
+    plus the rows of the partitions before it, so the only window runs over one
+    row a partition."""
     spark = df.sparkSession
     path = shared_path(spark, "ranked", unique=True)
-    (df.orderBy(F.col(order).asc_nulls_last())
+    (df.orderBy(*order)
        .withColumn("__at", F.monotonically_increasing_id())
        .withColumn("__part", F.shiftright("__at", 33))
        .withColumn("__place", F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33))

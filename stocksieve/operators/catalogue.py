@@ -1,22 +1,25 @@
 """Named query catalogue.
 
-Two forms, as in the screening pipeline's configuration:
-
-* named screens -> the DataFrame screens in ``screens`` (``run_screen``);
-* per-ticker SQL templates, written in Spark SQL over snapshot views with
-  *bound* parameters (``:symbol``, ``:as_of``) instead of string
-  formatting, so a ticker can never change the statement
-  (``run_ticker_sql``).  The set-based alternative -- all tickers at once,
-  or a semi-join to a ticker DataFrame -- lives in ``fundamentals``.
+Two forms, as in the screening pipeline's configuration: named screens over
+snapshot tables (``run_screen``), and per-ticker queries (``run_ticker``).  A
+per-ticker query is the set-based screen of ``fundamentals`` with the ticker as
+a filter value on its table, so a ticker can never change the statement and the
+filter reaches the scan; all tickers at once, or a semi-join to a ticker
+DataFrame, is the same screen without it.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from . import fundamentals as FU
 from . import screens as S
+from .adhoc import run_sql
+
+__all__ = ["SCREENS", "TICKER_SCREENS", "run_screen", "run_sql", "run_ticker"]
 
 SCREENS = {
     "insider_buying_activity": S.insider_buying_activity,
@@ -24,46 +27,31 @@ SCREENS = {
     "custom_insider": S.custom_insider,
     "screen_bigbet": S.screen_bigbets,
     "52week_lows": S.week52_lows,
+    "13f_filing": lambda holdings, as_of, cusip_map, **kw: S.thirteen_f_weights(holdings, cusip_map, as_of, **kw),
     "custom_screen": S.custom_screen,
     "screen_magic": S.magic_screen,
 }
 
-
-def run_screen(name: str, table: DataFrame, as_of, **kw) -> DataFrame:
-    """Run the named single-table screen on its snapshot table."""
-    return SCREENS[name](table, as_of, **kw)
-
-
-TICKER_SQL = {
-    "yahoo_holder": (
-        "SELECT DISTINCT date_reported, holder, type, value AS value_percentage "
-        "FROM yahoofinance_holders WHERE ticker_name = :symbol AND date_insert = :as_of "
-        "AND date_reported > date_sub(:as_of, 1000) ORDER BY date_reported"),
-    "yahoo_inside": (
-        "SELECT DISTINCT name, position, most_recent_transaction, latest_transaction_date, "
-        "shares_owned_directly, position_direct_date, shares_owned_indirectly "
-        "FROM yahoofinance_insider_roster_holders WHERE ticker_name = :symbol AND date_insert = :as_of "
-        "AND latest_transaction_date > date_sub(:as_of, 365)"),
-    "yahoo_meta": (
-        "SELECT DISTINCT industry, sector, fulltimeemployees, fullexchangename, exchangetimezonename, "
-        "instrumenttype, irwebsite, shortname FROM yahoofinance_metadata "
-        "WHERE ticker_name = :symbol AND date_insert = :as_of"),
+#: name -> (table, screen of the whole table)
+TICKER_SCREENS: dict[str, tuple[str, Callable[[DataFrame, object], DataFrame]]] = {
+    "yahoo_balance_sheet": ("balance_sheet", FU.balance_sheet),
+    "yahoo_cash_flow": ("cash_flow", FU.cash_flow),
+    "yahoo_stock_history": ("history", FU.price_history),
+    "yahoo_holder": ("holders", FU.holders),
+    "yahoo_income": ("income_statement", FU.income_statement),
+    "yahoo_inside": ("insider_roster_holders", FU.insider_roster),
+    "yahoo_meta": ("metadata", FU.metadata_screen),
 }
 
 
-def run_ticker_sql(spark: SparkSession, name: str, symbol: str, as_of) -> DataFrame:
-    day = as_of if isinstance(as_of, _dt.date) else _dt.date.fromisoformat(str(as_of))
-    return spark.sql(TICKER_SQL[name], args={"symbol": symbol, "as_of": day})
+def run_screen(name: str, table: DataFrame, as_of, **kw) -> DataFrame:
+    """Run the named screen on its snapshot table (``13f_filing`` also takes
+    ``cusip_map``)."""
+    return SCREENS[name](table, as_of, **kw)
 
 
-def run_sql(spark: SparkSession, query) -> DataFrame | None:
-    """SQL text, or ``{"query": text}`` -> DataFrame; ``None`` when the
-    statement does not parse or resolve."""
-    if isinstance(query, dict):
-        query = query["query"]
-    try:
-        df = spark.sql(query)
-        df.schema
-        return df
-    except Exception:  # noqa: BLE001 - the contract is "None on error"
-        return None
+def run_ticker(name: str, tables: dict[str, DataFrame], symbol: str, as_of) -> DataFrame:
+    """Run the named per-ticker query for one ticker over ``tables`` (by the
+    table names of ``TICKER_SCREENS``)."""
+    table, screen = TICKER_SCREENS[name]
+    return screen(tables[table].where(F.col("symbol") == F.lit(symbol)), as_of).drop("symbol")

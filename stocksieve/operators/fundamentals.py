@@ -5,7 +5,7 @@ one query per ticker."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -19,18 +19,50 @@ STATEMENT_KEYS = ["symbol", "freq", "date", "date_insert"]
 
 # ---------------------------------------------------------------- statements
 
+MAX_NAME = 59
+
+
+def item_names(long: DataFrame) -> DataFrame:
+    """Dictionary of the line items of ``long``: ``(full, line_item, clashed)``.
+
+    Names are normalised (lower case, ``_`` for spaces) and cut to 59
+    characters.  Of the names that a cut makes equal the first in order keeps
+    the cut one, the others end in their number, so no two items become one."""
+    full = long.select(normalise_name("line_item", None).alias("full")).distinct()
+    cut = F.substring("full", 1, MAX_NAME)
+    nth = F.row_number().over(Window.partitionBy(cut).orderBy("full"))
+    numbered = full.withColumn("nth", nth).withColumn("clashed", F.count("*").over(Window.partitionBy(cut)) > 1)
+    marked = F.concat(F.substring("full", 1, MAX_NAME - 6), F.lit("_"), F.lpad("nth", 5, "0"))
+    return numbered.select("full", F.when(F.col("nth") == 1, cut).otherwise(marked).alias("line_item"), "clashed")
+
+
+def named_items(long: DataFrame) -> DataFrame:
+    """``long`` with the names of ``item_names``.  Only names longer than the
+    cut take the join; no other name can meet a different one."""
+    full = normalise_name("line_item", None)
+    rest = [c for c in long.columns if c != "line_item"]
+    short = long.where(F.coalesce(F.length("line_item"), F.lit(0)) <= MAX_NAME).select(*rest, full.alias("line_item"))
+    wide = long.where(F.length("line_item") > MAX_NAME)
+    named = wide.withColumn("full", full).drop("line_item").join(item_names(long).drop("clashed"), "full")
+    return short.unionByName(named.select(*rest, "line_item"))
+
+
 def statement_wide(long: DataFrame, items: list[str]) -> DataFrame:
     """Long ``(symbol, freq, date, line_item, value, date_insert)`` ->
-    one row per period with one column per line item.  Line-item names are
-    normalised (lower case, ``_`` for spaces, 59 characters); values are
-    summed per cell and rounded to 2 places.  The item list is passed to
-    ``pivot`` so no job runs to discover it; unknown items are ignored and
-    absent ones give null columns."""
+    one row per period with one column per line item (``named_items``); values
+    are summed per cell and rounded to 2 places.  The item list is passed to
+    ``pivot`` so no job runs to discover it; absent items give null columns,
+    and the rows of items outside the list are ``unlisted_items``."""
     norm = long.select(*STATEMENT_KEYS, normalise_name("line_item").alias("line_item"), "value")
     return (norm.groupBy(*STATEMENT_KEYS).pivot("line_item", items)
                 .agg(F.round(F.sum("value"), 2)))
 
 
+def unlisted_items(long: DataFrame, items: list[str]) -> DataFrame:
+    """Rows whose item the wide form has no column for."""
+    return named_items(long).where(~F.coalesce(F.col("line_item").isin(items), F.lit(False)))
+
+
 def statement_long(wide: DataFrame, items: list[str]) -> DataFrame:
     """Wide -> long, dropping empty cells."""
     present = [c for c in items if c in wide.columns]
@@ -38,6 +70,11 @@ def statement_long(wide: DataFrame, items: list[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull())
 
 
+def in_order(*columns: str) -> list[Column]:
+    """Ascending, nulls last."""
+    return [F.col(c).asc_nulls_last() for c in columns]
+
+
 def _recent(df: DataFrame, as_of, date_col: str, days: int) -> DataFrame:
     return snapshot(df, as_of).where(F.col(date_col) > days_before(as_of, days))
 
@@ -48,20 +85,54 @@ def balance_sheet(wide: DataFrame, as_of, lookback_days: int = 1900) -> DataFram
     return (_recent(wide, as_of, "date", lookback_days)
             .where(~(key_null[0] & key_null[1] & key_null[2]))
             .select("symbol", "date", *items).distinct()
-            .orderBy("symbol", "date"))
+            .orderBy(*in_order("symbol", "date")))
 
 
 def cash_flow(wide: DataFrame, as_of, lookback_days: int = 1900) -> DataFrame:
     return (_recent(wide, as_of, "date", lookback_days)
             .dropna(how="any", subset=["free_cash_flow", "operating_cash_flow"])
             .select("symbol", "date", *schemas.CASH_FLOW_ITEMS).distinct()
-            .orderBy("symbol", "date"))
+            .orderBy(*in_order("symbol", "date")))
 
 
 def income_statement(wide: DataFrame, as_of, lookback_days: int = 1000) -> DataFrame:
     return (_recent(wide, as_of, "date", lookback_days)
             .select("symbol", "date", *schemas.INCOME_ITEMS).distinct()
-            .orderBy("symbol", "date"))
+            .orderBy(*in_order("symbol", "date")))
+
+
+# ---------------------------------------------------------------- two sources
+
+STATEMENT_DOC = "map<string,map<string,double>>"
+
+
+def parse_statement_docs(docs: DataFrame) -> DataFrame:
+    """Landed statement JSON ``{item: {period: value}}`` per symbol and day ->
+    ``(symbol, date_insert, line_item, date, value)``."""
+    items = docs.select("symbol", "date_insert", F.explode(F.from_json("body", STATEMENT_DOC)).alias("line_item", "periods"))
+    return items.select("symbol", "date_insert", "line_item", F.explode("periods").alias("date", "value")).withColumn("date", F.to_date("date"))
+
+
+def align_statements(annual: DataFrame, quarterly: DataFrame) -> DataFrame:
+    """The annual and the quarterly source of a statement side by side: one row
+    per symbol, day and line item that either has, each source's periods in a
+    map of their own (null where it lacks the item), as an outer alignment on
+    the item.  A (symbol, day, item) has as many periods as days, no more."""
+    keys = ["symbol", "date_insert", "line_item"]
+
+    def periods(df: DataFrame, name: str) -> DataFrame:
+        cells = df.groupBy(*keys, "date").agg(F.round(F.sum("value"), 2).alias("value"))
+        return cells.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("date", "value")))).alias(name))
+
+    return periods(annual, "annual").join(periods(quarterly, "quarterly"), keys, "full_outer")
+
+
+def periods_of(aligned: DataFrame) -> DataFrame:
+    """The aligned sources as one long statement, labelled by source."""
+    def side(name: str) -> DataFrame:
+        cells = aligned.select("symbol", "date_insert", "line_item", F.explode(name).alias("date", "value"))
+        return cells.select("symbol", F.lit(name).alias("freq"), "date", "line_item", "value", "date_insert")
+    return side("annual").unionByName(side("quarterly"))
 
 
 # ---------------------------------------------------------------- market data
@@ -76,7 +147,7 @@ def price_history(history: DataFrame, as_of, lookback_days: int = 1000) -> DataF
     return (_recent(h, as_of, "date", lookback_days)
             .select("symbol", F.col("date").cast("date").alias("date"), money2("open").alias("open"),
                     money2("close").alias("close"), "volume", "dividends", "stock_splits")
-            .distinct().orderBy("symbol", "date"))
+            .distinct().orderBy(*in_order("symbol", "date")))
 
 
 def combine_holders(mutual: DataFrame, institutional: DataFrame) -> DataFrame:
@@ -92,7 +163,7 @@ def holders(holders_table: DataFrame, as_of, lookback_days: int = 1000) -> DataF
     of the position; the name is kept for compatibility)."""
     return (_recent(holders_table, as_of, "date_reported", lookback_days)
             .select("symbol", "date_reported", "holder", "type", F.col("value").alias("value_percentage"))
-            .distinct().orderBy("symbol", "date_reported"))
+            .distinct().orderBy(*in_order("symbol", "date_reported")))
 
 
 def insider_roster(roster: DataFrame, as_of, lookback_days: int = 365) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, days_before
-from ..functions.joins import broadcast_if_small, share_of_total
+from ..functions.joins import share_of_total
 from ..functions.text import pg_initcap, pg_left
 
 # Length of the filing suffix cut from a landed fund name
@@ -50,8 +50,8 @@ def thirteen_f_weights(holdings: DataFrame, cusip_map: DataFrame, as_of,
     recent = (snapshot(holdings, as_of)
               .where(F.col("trans_date") > days_before(as_of, lookback_days))
               .select("cusip", "fund_name", "prn_amt"))
-    cmap = broadcast_if_small(cusip_map.select("cusip", "ticker"))
-    per_pair = (recent.join(cmap, "cusip", "inner")
+    # the scan's size in bytes decides on a broadcast, by Spark's own threshold
+    per_pair = (recent.join(cusip_map.select("cusip", "ticker"), "cusip", "inner")
                 .groupBy("ticker", "fund_name")
                 .agg(F.max("prn_amt").alias("max_prn_amt"))
                 .withColumn("fund_name", fund_display_name("fund_name")))

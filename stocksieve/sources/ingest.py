@@ -97,8 +97,20 @@ def rollup_insider(clean: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- home page tables
 
+def home_cells(pages: DataFrame) -> DataFrame:
+    """Every table of the home pages in one pass: ``(date_insert, ordinal,
+    cells)``, header rows skipped."""
+    tables = pages.select("date_insert", F.posexplode(H.tables("html")).alias("ordinal", "table"))
+    rows = tables.select("date_insert", "ordinal", F.posexplode(H.rows("table")).alias("pos", "tr"))
+    return rows.where(F.col("pos") >= 1).select("date_insert", "ordinal", H.cells("tr").alias("cells"))
+
+
 def home_table(pages: DataFrame, ordinal: int, names: list[str]) -> DataFrame:
-    rows = table_rows(pages, H.nth_table("html", ordinal), ["date_insert"])
+    """One table of the home pages, or of their ``home_cells``."""
+    if "cells" in pages.columns:
+        rows = pages.where(F.col("ordinal") == ordinal).select("date_insert", "cells")
+    else:
+        rows = table_rows(pages, H.nth_table("html", ordinal), ["date_insert"])
     return name_cells(rows, names, ["date_insert"])
 
 

@@ -263,6 +263,15 @@ def metadata_docs(fx_metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
     return history_docs, info_docs
 
 
+def statement_docs(statements: DataFrame) -> DataFrame:
+    """Statement JSON ``{item: {period: value}}`` per symbol, day and source
+    (``freq``); a document has as many entries as items and periods."""
+    cells = statements.groupBy("symbol", "date_insert", "freq", "line_item", F.date_format("date", "yyyy-MM-dd").alias("period")).agg(F.sum("value").alias("value"))
+    items = cells.groupBy("symbol", "date_insert", "freq", "line_item").agg(F.map_from_entries(F.collect_list(F.struct("period", "value"))).alias("periods"))
+    docs = items.groupBy("symbol", "date_insert", "freq").agg(F.map_from_entries(F.collect_list(F.struct("line_item", "periods"))).alias("items"))
+    return docs.select("symbol", "date_insert", "freq", F.to_json("items", {"ignoreNullFields": "false"}).alias("body"))
+
+
 def info_table_pages(fx_sec_13f: DataFrame, keys_per_page: int = 20_000) -> DataFrame:
     """13F information-table documents: one table with the header-summary
     attribute, three header rows, then one row of 12 or 13 cells per
