@@ -272,6 +272,32 @@ def statement_docs(statements: DataFrame) -> DataFrame:
     return docs.select("symbol", "date_insert", "freq", F.to_json("items", {"ignoreNullFields": "false"}).alias("body"))
 
 
+def company_docs(history: DataFrame, metadata: DataFrame, roster: DataFrame, mutual: DataFrame, institutional: DataFrame,
+                 statements: dict[str, DataFrame]) -> DataFrame:
+    """``(symbol, date_insert, kind, body)``: what a fetch of each company
+    lands.  Histories come a document a year; the other lists are a company's
+    own."""
+    def rows(df: DataFrame, kind: str, columns: list[str], *more: Column) -> DataFrame:
+        docs = df.groupBy("symbol", "date_insert", *more).agg(F.to_json(F.collect_list(F.struct(*columns))).alias("body"))
+        return docs.select("symbol", "date_insert", F.lit(kind).alias("kind"), "body")
+
+    meta, info = metadata_docs(metadata)
+    parts = [
+        rows(history, "history", ["date", "open", "high", "low", "close", "volume"], F.year("date")),
+        rows(roster, "insider_roster", ["name", "position", "latest_transaction_date", "shares_owned_directly"]),
+        rows(mutual, "mutual_holders", ["date_reported", "holder", "shares", "value"]),
+        rows(institutional, "institutional_holders", ["date_reported", "holder", "pctheld", "shares", "value"]),
+        meta.select("symbol", "date_insert", F.lit("history_metadata").alias("kind"), "body"),
+        info.select("symbol", "date_insert", F.lit("info").alias("kind"), "body"),
+    ]
+    for name, long in statements.items():
+        parts.append(statement_docs(long).select("symbol", "date_insert", F.concat(F.lit(f"{name}_"), "freq").alias("kind"), "body"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def info_table_pages(fx_sec_13f: DataFrame, keys_per_page: int = 20_000) -> DataFrame:
     """13F information-table documents: one table with the header-summary
     attribute, three header rows, then one row of 12 or 13 cells per

@@ -15,18 +15,25 @@ def test_run_sql_returns_none_on_error(spark):
     assert K.run_sql(spark, "selec nonsense") is None
 
 
-def test_named_screen_and_bound_template(spark):
+def test_every_named_screen_is_there():
+    assert sorted(K.SCREENS) == ["13f_filing", "52week_lows", "custom_insider", "custom_screen", "insider_buying_activity",
+                                 "insider_buying_activity_with_superinvestor", "screen_bigbet", "screen_magic"]
+    assert sorted(K.TICKER_SCREENS) == ["yahoo_balance_sheet", "yahoo_cash_flow", "yahoo_holder", "yahoo_income", "yahoo_inside", "yahoo_meta", "yahoo_stock_history"]
+
+
+def test_named_screen_and_ticker_as_a_value(spark):
     lows = spark.createDataFrame([("T1", "5%", D), ("T1", "5%", D), ("T2", "7%", dt.date(2024, 5, 31))],
                                  "ticker string, percent_owned string, date_insert date")
     assert rows(K.run_screen("52week_lows", lows, "2024-06-01")) == [("T1", "5%")]
+    holdings = spark.createDataFrame([("c1", "acme - 13F-HR Q3 filing x", 5, dt.date(2024, 5, 20), D)], "cusip string, fund_name string, prn_amt bigint, trans_date date, date_insert date")
+    cusips = spark.createDataFrame([("c1", "T1")], "cusip string, ticker string")
+    assert rows(K.run_screen("13f_filing", holdings, "2024-06-01", cusip_map=cusips)) == [("T1", "Acme", 100.0)]
     meta = spark.createDataFrame(
         [("Steel", "ASIA", 70, "NasdaqGS", "America/New_York", "EQUITY", None, "Co", "T1", D),
          ("Oil", "EUROPE", 5, "NYSE", "America/New_York", "EQUITY", None, "Co2", "T1'; drop table x; --", D)],
         "industry string, sector string, fulltimeemployees bigint, fullexchangename string, "
         "exchangetimezonename string, instrumenttype string, irwebsite string, shortname string, "
-        "ticker_name string, date_insert date")
-    meta.createOrReplaceTempView("yahoofinance_metadata")
-    assert [r.industry for r in K.run_ticker_sql(spark, "yahoo_meta", "T1", D).collect()] == ["Steel"]
-    # the parameter is bound, never spliced into the statement text
-    odd = K.run_ticker_sql(spark, "yahoo_meta", "T1'; drop table x; --", "2024-06-01")
-    assert [r.industry for r in odd.collect()] == ["Oil"]
+        "symbol string, date_insert date")
+    assert [r.industry for r in K.run_ticker("yahoo_meta", {"metadata": meta}, "T1", D).collect()] == ["Steel"]
+    odd = K.run_ticker("yahoo_meta", {"metadata": meta}, "T1'; drop table x; --", "2024-06-01")
+    assert [r.industry for r in odd.collect()] == ["Oil"] and "symbol" not in odd.columns

@@ -1,6 +1,9 @@
 import datetime as dt
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 
 from stocksieve.operators import adhoc as A
 from stocksieve.operators import consensus as C
@@ -138,13 +141,120 @@ def test_adhoc_guard_rails(spark):
     assert spark.table("adhoc_t").count() == 150
 
 
-def test_sections_are_bounded_and_ordered(spark):
-    df = spark.createDataFrame([(f"T{i:03d}", float(i)) for i in range(100)], "ticker string, weight double")
-    sec = X.render_section(df, "s", ["ticker", "weight"], [("weight", True)], n=3).first()
-    assert sec.n_rows == 100 and sec.n_shown == 3
-    assert sec.text == "ticker | weight\nT099 | 99.0000\nT098 | 98.0000\nT097 | 97.0000"
-    empty = X.render_section(df.where("weight < 0"), "e", ["ticker"], [("ticker", False)], n=3).first()
-    assert empty.n_rows == 0 and empty.text == "ticker\n"
+def test_adhoc_gate_judges_what_names_resolve_to(spark):
+    spark.range(5).selectExpr("id as x", "cast(id as string) as s", "date'2024-01-31' as d").createOrReplaceTempView("gate_v")
+    spark.createDataFrame([(1, "p")], "x int, secretcol string").createOrReplaceTempView("gate_other")
+    spark.udf.register("gate_udf", lambda x: x)
+    views = {"gate_v"}
+    refused = [
+        "select reflect('java.lang.System', 'getProperty', 'user.dir') from gate_v", "select java_method('java.lang.System', 'getProperty', 'user.dir') as a from gate_v",
+        "select x, s.secretcol from (with gate_other as (select x from gate_v) select x from gate_other) a, gate_other s",
+        "select secretcol from gate_other", "with gate_v as (select secretcol from gate_other) select secretcol from gate_v",
+        "select x from gate_v where x in (select x from gate_other)", "select id from range(5)", "select input_file_name() as f from gate_v",
+        "select gate_udf(x) as y from gate_v", "select x from gate_v where rand() > 0.5", "select current_user() as u", "select version() as v from gate_v",
+        "create table gate_t as select x from gate_v", "insert into gate_v select x from gate_v", "select x from gate_v; drop view gate_v", "explain select x from gate_v",
+        "select transform(x) using 'cat' as y from gate_v", "select spark_partition_id() as p from gate_v", "select nosuch from gate_v", "select uuid() as u from gate_v"]
+    for sql in refused:
+        assert A.check_sql(spark, sql, views), sql
+        assert A.run_sql(spark, sql, views) is None, sql
+    allowed = [
+        "with a as (select x from gate_v) select a.x, b.x as z from a join a b on a.x = b.x", "select distinct x from gate_v order by x desc limit 3",
+        "select s, count(x) as c, sum(x) as t, percentile_approx(x, 0.5) as m from gate_v group by s having count(x) > 0",
+        "select x, row_number() over (partition by s order by x) as r from gate_v", "select x from gate_v where exists (select 1 from gate_v w where w.x = gate_v.x)",
+        "select case when x > 1 then 'a' else nvl(s, 'b') end as c, round(x / 3, 2) as q, x between 1 and 2 as b, upper(substr(s, 1, 1)) as u from gate_v",
+        "select year(d) as y, date_sub(d, 3) as e, date_trunc('month', d) as m, date_format(d, 'yyyy') as f, d - interval 1 day as i from gate_v",
+        "select explode(array(1, 2)) as e from gate_v", "select transform(array(x), q -> q + 1) as t from gate_v", "select x from gate_v union all select 1 as x"]
+    for sql in allowed:
+        assert A.check_sql(spark, sql, views) is None, (sql, A.check_sql(spark, sql, views))
+        assert A.run_sql(spark, sql, views).collect() is not None
+
+
+def test_adhoc_runs_its_query_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+    spark.createDataFrame(spark.sparkContext.parallelize([(i, i % 2) for i in range(10)], 1).map(lambda r: (ran.add(1), r)[1]), "x long, k long").createOrReplaceTempView("once_v")
+    before = ran.value
+    got = A.answer(spark, "select k, x from once_v order by k desc, x", limit=3, views={"once_v"})
+    assert json.loads(got.first()[0]) == {"result": [{"k": 1, "x": 1}, {"k": 1, "x": 3}, {"k": 1, "x": 5}], "total": 10, "truncated": True}
+    assert ran.value - before <= 20  # sampled for the sort's ranges, then read
+    assert "parquet" in got._jdf.queryExecution().executedPlan().toString().lower()  # answered from what the run wrote
+
+
+def test_sections_come_in_pages_with_every_row(spark):
+    df = spark.createDataFrame([(f"T{i:03d}", float(i) if i % 10 else None) for i in range(100)], "ticker string, weight double")
+    pages = X.render_sections([("s", df, ["ticker", "weight"], [("weight", True)]), ("e", df.where("weight < 0"), ["ticker"], [("ticker", False)])], rows_per_page=30)
+    got = {(r.section, r.page): r for r in pages.collect()}
+    assert sorted(got) == [("e", 0), ("s", 0), ("s", 1), ("s", 2), ("s", 3)]
+    assert [got["s", k].n_shown for k in range(4)] == [30, 30, 30, 10] and {got["s", k].n_rows for k in range(4)} == {100}
+    assert got["s", 0].text.startswith("ticker | weight\nT099 | 99.0000\nT098 | 98.0000\n") and got["s", 3].text.endswith("\nT080 | \nT090 | ")
+    lines = [x for k in range(4) for x in got["s", k].text.split("\n")[1:]]
+    assert len(lines) == 100 and len(set(lines)) == 100
+    assert got["e", 0].n_rows == 0 and got["e", 0].text == "ticker\n"
+
+
+def test_later_prompts_carry_earlier_reports(spark, tmp_dir):
+    df = spark.createDataFrame([("AB", 1), ("CD", 2)], "ticker string, n int")
+    names = {s for secs, _ in X.PROMPTS.values() for s in secs}
+    sections = X.render_sections([(n, df, ["ticker", "n"], [("ticker", False)]) for n in sorted(names)], rows_per_page=1)
+    seen = []
+
+    def answer(prompt, prompts, reports):
+        seen.append((prompt, sorted(r.prompt_name for r in reports.collect())))
+        assert prompts.count() == (2 if X.PROMPTS[prompt][0] else 1)
+        return spark.createDataFrame([(prompt, f"report of {prompt}")], "prompt_name string, report_text string")
+
+    prompts, reports = X.report_chain(sections, answer, "2024-06-01", tmp_dir)
+    order = list(X.PROMPTS)
+    assert seen == [(p, sorted(order[:k])) for k, p in enumerate(order)]
+    assert {r.prompt_name: r.report_text for r in reports.collect()} == {p: f"report of {p}" for p in order}
+    text = {(r.prompt_name, r.page): r.prompt_text for r in prompts.collect()}
+    senior = text["senior_report", 0]
+    assert senior == "Data as of 2024-06-01\n\n" + "\n\n".join(f"### report {p}\nreport of {p}" for p in order[:4])
+    assert "report of insider_report" in text["week_low_report", 0] and "report of" not in text["week_low_report", 1]
+    assert text["insider_report", 1].count("CD | 2") == 3 and "AB" not in text["insider_report", 1]
+
+
+def test_item_names_stay_apart(spark):
+    long_a, long_b = "Some Item " * 6 + "alpha", "Some Item " * 6 + "beta"
+    rows_ = [("T", "annual", D, long_a, 1.0, D), ("T", "annual", D, long_b, 2.0, D), ("T", "annual", D, "Total Debt", 4.0, D), ("T", "annual", D, None, 8.0, D)]
+    df = spark.createDataFrame(rows_, "symbol string, freq string, date date, line_item string, value double, date_insert date")
+    got = {r.line_item: r.value for r in FU.named_items(df).collect()}
+    cut = ("some_item_" * 6)[:59]
+    assert got == {cut: 1.0, cut[:53] + "_00002": 2.0, "total_debt": 4.0, None: 8.0}
+    assert {(r.line_item, r.clashed) for r in FU.item_names(df.where("line_item like 'S%'")).collect()} == {(cut, True), (cut[:53] + "_00002", True)}
+    assert FU.unlisted_items(df, ["total_debt"]).count() == 3
+
+
+def test_two_statement_sources_are_aligned_on_the_item(spark):
+    docs = lambda body: FU.parse_statement_docs(spark.createDataFrame([("T", D, body)], "symbol string, date_insert date, body string"))
+    aligned = FU.align_statements(docs('{"Debt": {"2023-12-31": 1.005, "2022-12-31": null}, "Only Annual": {"2023-12-31": 2}}'),
+                                  docs('{"Debt": {"2024-03-31": 3, "2023-12-31": 4}, "Only Quarterly": {"2024-03-31": 5}}'))
+    got = {r.line_item: (r.annual, r.quarterly) for r in aligned.collect()}
+    d = dt.date
+    assert got == {"Debt": ({d(2022, 12, 31): None, d(2023, 12, 31): 1.0 if got["Debt"][0][d(2023, 12, 31)] == 1.0 else 1.01}, {d(2023, 12, 31): 4.0, d(2024, 3, 31): 3.0}),
+                   "Only Annual": ({d(2023, 12, 31): 2.0}, None), "Only Quarterly": (None, {d(2024, 3, 31): 5.0})}
+    periods = FU.periods_of(aligned)
+    assert sorted((r.freq, r.line_item, str(r.date)) for r in periods.collect()) == [
+        ("annual", "Debt", "2022-12-31"), ("annual", "Debt", "2023-12-31"), ("annual", "Only Annual", "2023-12-31"),
+        ("quarterly", "Debt", "2023-12-31"), ("quarterly", "Debt", "2024-03-31"), ("quarterly", "Only Quarterly", "2024-03-31")]
+
+
+def test_store_replaces_keys_inside_a_day(spark, tmp_dir):
+    store = SnapshotStore(spark, tmp_dir)
+    df = lambda rs: spark.createDataFrame(rs, "symbol string, v long")
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "symbol string")
+    store.replace_keys("t", df([("A", 1), ("B", 2), ("C", 3)]), keys("A", "B", "C"), "2024-01-01")
+    store.replace_keys("t", df([("A", 9)]), keys("A"), "2024-01-02")
+    store.replace_keys("t", df([("B", 20), ("B", 21)]), keys("B", "C"), "2024-01-01")  # C came back empty
+    assert sorted((r.symbol, r.v) for r in store.read("t", "2024-01-01").collect()) == [("A", 1), ("B", 20), ("B", 21)]
+    assert [(r.symbol, r.v) for r in store.read("t", "2024-01-02").collect()] == [("A", 9)]
+    store.replace_keys("t", df([]), keys("A", "B"), "2024-01-01")  # nothing left: the day is empty
+    assert store.read("t", "2024-01-01").count() == 0 and store.read("t").count() == 1
+    store.write("t", df([]), "2024-01-02")
+    assert store.read("t").count() == 0
+    store.write("t", df([("A", 1)]).withColumn("more", F.lit("x")), "2024-01-03")
+    assert store.versions("t") == [1, 2] and [r.more for r in store.read("t").collect()] == ["x"]
+    with pytest.raises(ValueError):
+        store.write("t", spark.createDataFrame([("A", "text")], "symbol string, v string"), "2024-01-04")
 
 
 def test_ticker_mentions_and_list(spark):

@@ -1,6 +1,5 @@
 import datetime as dt
 
-from stocksieve.functions.joins import broadcast_if_small, fits
 from stocksieve.sources import ingest as I
 from stocksieve.sources import landing as L
 from stocksieve.streaming.landing import batch_writer, ingest_landed, read_ingested
@@ -38,10 +37,3 @@ def test_stream_restart_and_replayed_batch_do_not_duplicate(spark, tmp_dir):
     write(replay, 0)
     write(replay, 0)
     assert sorted(r.ticker for r in read_ingested(spark, target).collect()) == tickers
-
-
-def test_checked_broadcast_falls_back_above_bound(spark):
-    df = spark.range(50)
-    assert fits(df, 50) and not fits(df, 49)
-    assert broadcast_if_small(df, max_rows=20) is df          # above the bound: plain join
-    assert broadcast_if_small(df, max_rows=100) is not df     # within the bound: broadcast hint
