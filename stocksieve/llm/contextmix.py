@@ -50,16 +50,16 @@ FOLDS, HELD_OUT = 5, 1
 ORDERS = 5
 BLOCKS = (16, 64, 64, 128, 256)  # of slots, by order
 BLOCK = 1 << 14
-HOT_SHARE = 1 << 17
-HELD_WORDS = 300_000
+HOT_SHARE = 1 << 19
+HELD_WORDS = 500_000
 HELD_WINDOWS = 2_000_000  # windows a task holds before it merges them or passes them on
 WINDOW_BYTES = 1 << 20  # bytes whose windows are made at once
-KNOWN_BITS = 21
+KNOWN_BITS = 23
 HELD_TOKENS = 100_000  # rows of tokens a task holds before it passes them on
 DELTA = 0.3  # added to both counts of a slot
 GATES = (ORDERS + 1) * 4 * 8
 RATE = 0.02
-BATCH = 1024
+BATCH = 4096
 STEPS = 33  # of the map, half a unit of log odds each
 MAP_PRIOR = 16.0
 FLOOR = 1.0 / 65536
@@ -82,19 +82,15 @@ def held_out(doc_id: Column) -> Column:
 
 # ---------------------------------------------------------------- tokens
 
-def token_counts(text: str | None) -> Counter:
-    """The text's words and their number, A-Z lower-cased."""
+def words(text: str | None) -> Iterator[list[bytes]]:
+    """The text's words, A-Z lower-cased, a bounded part of it at a time."""
     raw = (text or "").encode().translate(_LOWER)
-    if len(raw) <= 4 * WINDOW_BYTES:
-        return Counter(raw.split())
-    counts: Counter = Counter()
     a = 0
     while a < len(raw):
-        stop = _WORD_END.search(raw, a + WINDOW_BYTES)
+        stop = _WORD_END.search(raw, a + 4 * WINDOW_BYTES)
         b = stop.end() if stop else len(raw)
-        counts.update(raw[a:b].split())
+        yield raw[a:b].split()
         a = b
-    return counts
 
 
 def _token_rows(batches):
@@ -108,7 +104,8 @@ def _token_rows(batches):
 
     for batch in batches:
         for t in batch.column("text"):
-            held.update(token_counts(t.as_py()))
+            for part in words(t.as_py()):
+                held.update(part)
             held[END] += 1
             if len(held) > HELD_WORDS:
                 yield from out()
@@ -355,27 +352,34 @@ def fit(docs: DataFrame) -> Model:
 # ---------------------------------------------------------------- scores
 
 class Memory:
-    """Log probabilities of windows met before, in a table of fixed size."""
+    """Log probabilities of windows met before, in a table of fixed size.  A
+    window's 48 bits are mixed one to one; the first say where it is kept, the
+    others tell it from those kept there before."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.keys = np.full(1 << KNOWN_BITS, (1 << 64) - 1, U)  # no window has 64 bits
-        self.values = np.zeros(1 << KNOWN_BITS)
+        self.tags = np.full(1 << KNOWN_BITS, _NO_TAG, np.uint32)  # a tag has 48 - KNOWN_BITS bits
+        self.values = np.zeros(1 << KNOWN_BITS, np.float32)
+
+    def _at(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = (w * _ORDER_MIX[1]) & _MASK[ORDERS + 1]
+        h = ((h ^ (h >> U(24))) * _ORDER_MIX[2]) & _MASK[ORDERS + 1]
+        return (h >> U(48 - KNOWN_BITS)).astype(np.int64), (h & U((1 << 48 - KNOWN_BITS) - 1)).astype(np.uint32)
 
     def __call__(self, w: np.ndarray) -> np.ndarray:
-        slot = ((w * _ORDER_MIX[1]) >> U(64 - KNOWN_BITS)).astype(np.int64)
-        out = self.values[slot]
-        new = np.flatnonzero(self.keys[slot] != w)
+        slot, tag = self._at(w)
+        out = self.values[slot].astype(float)
+        new = np.flatnonzero(self.tags[slot] != tag)
         if len(new):
             fresh, back = np.unique(w[new], return_inverse=True)
-            found = np.concatenate([self.model.log10(fresh[a:a + 1 << 15]) for a in range(0, len(fresh), 1 << 15)])
+            found = np.concatenate([self.model.log10(fresh[a:a + (1 << 15)]) for a in range(0, len(fresh), 1 << 15)]).astype(np.float32)
             out[new] = found[back]
-            at = ((fresh * _ORDER_MIX[1]) >> U(64 - KNOWN_BITS)).astype(np.int64)
-            at, pick = np.unique(at, return_index=True)
-            self.keys[at], self.values[at] = fresh[pick], found[pick]
+            slot, tag = self._at(fresh)
+            self.tags[slot], self.values[slot] = tag, found  # of equal places the last, in both
         return out
 
 
+_NO_TAG = (1 << 32) - 1
 _memory: list = []  # of a worker: the model broadcast last, and what it remembers
 
 
@@ -413,8 +417,9 @@ def _scored(shared):
             at, token, count = [], [], []
             for row, t in zip(rows, texts):
                 t = t.as_py() or ""
-                own = token_counts(t)
-                own[END] = 1
+                own = Counter((END,))
+                for part in words(t):
+                    own.update(part)
                 known, sum_ = 0, 0.0
                 for word, n in own.items():
                     log = hot.get(word)
