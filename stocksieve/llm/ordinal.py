@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .training import collect_sample, held_out, labelled_sample, sigmoid
+from .training import fitted, held_out, labelled_sample, sigmoid
 
 SLOTS = 1 << 16
 MAX_TRAIN_ROWS = 8_000  # rated rows a model is fitted on, at most
@@ -139,7 +139,7 @@ def quality(docs: DataFrame, labels: DataFrame, select_grade: int | None = 1, ke
     graded = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("quality").isNull(), F.lit(None))
                            .when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
     sample = labelled_sample(docs, graded, "grade", max_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(*collect_sample(sample, max_rows)))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(sample, max_rows, fit))
     out = docs.select("doc_id", "text").mapInArrow(grader(shared, select_grade), "doc_id long, expected_grade double, tail double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail",
                       (F.col("tail") >= keep_tail).alias("keep"))

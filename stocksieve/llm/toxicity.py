@@ -4,7 +4,7 @@ skip-grams.
 Features of a text are the distinct words (runs of letters and digits, A-Z as
 a-z), pairs of neighbours, and pairs with one word between, hashed to
 ``SLOTS`` slots.  L1 leaves few non-zero weights, so noise in long texts adds
-nothing and the broadcast is one float per slot at most (fixed size).
+nothing; the broadcast holds those slots and weights alone.
 
 Cases: a null or empty text has no features and gets the bias's score; no
 labelled rows, or labels of one kind only, give score 0.0 (1.0 if all are
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .training import Ftrl, collect_sample, held_out, labelled_sample, sigmoid
+from .training import Ftrl, fitted, held_out, labelled_sample, sigmoid
 
 SLOTS = 1 << 20
 MAX_TRAIN_ROWS = 12_000  # labelled rows a model is fitted on, at most
@@ -41,11 +41,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return slots.astype(np.int64), np.concatenate([rows, pair_rows, rows[:-2][same] if len(words) > 2 else rows[:0]])
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights by slot and the bias."""
+def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots of non-zero weights, the weights and the bias."""
     y = np.array([1.0 if v else 0.0 for v in labels])
     if not len(y) or y.min() == y.max():
-        return np.zeros(SLOTS, np.float32), (35.0 if len(y) and y[0] else -np.inf)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), (35.0 if len(y) and y[0] else -np.inf)
     # the last slot of the table is the bias
     model = Ftrl(SLOTS + 1, alpha=2.0, l1=3.0, l2=0.1)
     sets = []
@@ -60,12 +60,15 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.n
             p = sigmoid(model.weights(at)[:, 0].sum())
             model.step(at, np.ones(len(at)), p - y[i])
     w = model.weights()[:, 0]
-    return w[:-1].astype(np.float32), float(w[-1])
+    used = np.flatnonzero(w[:-1])
+    return used.astype(np.int32), w[used].astype(np.float32), float(w[-1])
 
 
-def scorer(weights, bias: float, keep: str = "doc_id"):
+def scorer(shared):
     def score(batches):
-        w = weights.value
+        slots, weights, bias = shared.value
+        w = np.zeros(SLOTS, np.float32)
+        w[slots] = weights
         for batch in batches:
             out = np.empty(batch.num_rows)
             for first, data, offsets in X.pieces(batch.column("text")):
@@ -78,16 +81,16 @@ def scorer(weights, bias: float, keep: str = "doc_id"):
     return score
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    return fit(*collect_sample(labelled_sample(docs, labels, "toxic", max_rows), max_rows))
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS):
+    """The model of a bounded sample, broadcast."""
+    return docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(docs, labels, "toxic", max_rows), max_rows, fit))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, max_rows: int = MAX_TRAIN_ROWS,
              threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``."""
-    weights, bias = train(docs if train_docs is None else train_docs, labels, max_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    scored = docs.select("doc_id", "text").mapInArrow(scorer(shared, bias), "doc_id long, score double")
+    shared = train(docs if train_docs is None else train_docs, labels, max_rows)
+    scored = docs.select("doc_id", "text").mapInArrow(scorer(shared), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -95,9 +98,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None =
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` (all their columns) scored under the threshold.
     The scorer passes the other columns through, so nothing is joined."""
-    weights, bias = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    score = scorer(shared, bias)
+    score = scorer(train(docs, labels))
 
     def keep(batches):
         for batch in batches:

@@ -2,14 +2,19 @@
 
 A classifier is fitted on at most ``max_rows`` labelled rows: the rows with
 the smallest hash of their id, so the sample does not depend on file order
-and does not grow with the corpus.  Only those rows' texts reach the driver.
-Scoring then runs over every row in tasks, with the weights broadcast (their
-size is fixed by the number of hash slots).
+and does not grow with the corpus.  One task fits the model; the driver sees the
+model alone.  Scoring then runs over every row in tasks, with the weights
+broadcast (their size is fixed by the number of hash slots).
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,11 +57,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return texts.join(F.broadcast(ids.select("doc_id", "label")), "doc_id")
 
 
-def collect_sample(sample: DataFrame, max_rows: int) -> tuple[list[str], list]:
-    """The sample's texts and labels in a fixed order (repeated rows that
-    exceed the bound are left out)."""
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows).toArrow()
-    return rows.column("text").to_pylist(), rows.column("label").to_pylist()
+def fitted(sample: DataFrame, max_rows: int, fit: Callable[[list[str], list], tuple]) -> tuple:
+    """``fit(texts, labels)`` over the sample's rows in a fixed order, run in one
+    task (the sample is bounded; repeated rows that exceed the bound are left
+    out); only what it returns reaches the driver."""
+    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows).select("text", "label")
+
+    def run(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            labels += batch.column("label").to_pylist()
+        packed = zlib.compress(pickle.dumps(fit(texts, labels)), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["model"])
+
+    got = rows.mapInArrow(run, "model binary").collect()
+    return pickle.loads(zlib.decompress(got[0].model)) if got else fit([], [])
 
 
 class Ftrl:
