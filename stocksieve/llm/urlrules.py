@@ -11,8 +11,10 @@ support, then fewer tokens), found through an inverted index: a rule is filed
 under its rarest token, a url looks up its own tokens and the rest of the
 rule's tokens are tested against it.  A url that fits none is allowed.
 
-Everything is a DataFrame job; mining and matching run on distinct urls.  The
-number of mined rules depends on the support, not on the number of urls.
+Everything is a DataFrame job; mining and matching run on distinct urls.  A url
+with n frequent tokens makes at most n + n(n-1)/2 + n(n-1)(n-2)/6 small baskets
+(``_baskets``), so mining grows with a power of n; the number of mined rules
+depends on the support, not on the number of urls.
 
 Cases: a null url or one without ``://`` has empty host and path, no tokens
 and the verdict allow; without labelled urls nothing is mined; repeated rows and
@@ -21,11 +23,14 @@ null ids are judged like others; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_path
+from .components import staged
 
 # fixed values of the contract: (host, path, verdict)
 GIVEN = (
@@ -39,6 +44,7 @@ DEFAULT = "allow"
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.8
 MAX_TOKENS = 3  # tokens of a mined rule
+GROUPS = 256  # of tokens, of which a basket holds at most MAX_TOKENS
 _VERDICT = "verdict="
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,16 +87,64 @@ def tokens(url: Column) -> Column:
     return F.when(host(url) == "", F.array().cast("array<string>")).otherwise(every)
 
 
+def _combinations(groups: Column) -> Column:
+    """All sets of one to three of the distinct values of an array."""
+    rest = lambda i: F.slice(groups, i + 2, F.size(groups))
+    one = F.transform(groups, lambda a: F.array(a))
+    two = F.flatten(F.transform(groups, lambda a, i: F.transform(rest(i), lambda b: F.array(a, b))))
+    three = F.flatten(F.flatten(F.transform(groups, lambda a, i: F.transform(rest(i), lambda b, j: F.transform(rest(i + j + 1), lambda c: F.array(a, b, c))))))
+    return F.concat(one, two, three)
+
+
+def _baskets(labelled: DataFrame, least: int) -> DataFrame:
+    """``(items)``: the frequent tokens of each url, dealt to baskets in which
+    no long combination can arise.
+
+    Tokens fall into ``GROUPS`` groups by hash.  A url makes a basket of each
+    set of at most MAX_TOKENS groups it has tokens of, and its items name that
+    set, so FP-growth meets few tokens at a time, however many a url has: the
+    number of baskets grows with a power of that number, not exponentially.  A
+    combination is counted in full in the baskets of exactly its own groups,
+    and is read from those."""
+    rows = labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "verdict")
+    each = rows.select("row", "verdict", F.explode("tokens").alias("token"))
+    frequent = each.groupBy("token").count().where(F.col("count") >= least).select("token")
+    kept = each.join(frequent, "token").groupBy("row", "verdict").agg(F.collect_set("token").alias("tokens"))
+    sets = kept.select("tokens", "verdict", F.explode(_combinations(F.array_sort(F.array_distinct(F.transform("tokens", _group))))).alias("groups"))
+    tag = F.concat(F.array_join("groups", ","), F.lit("|"))
+    own = F.filter("tokens", lambda t: F.array_contains("groups", _group(t)))
+    return sets.select(F.transform(F.concat(own, F.array(F.concat(F.lit(_VERDICT), "verdict"))), lambda t: F.concat(tag, t)).alias("items"))
+
+
+def _group(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(GROUPS)).cast("int")
+
+
+def _plain(items: Column) -> Column:
+    return F.transform(items, lambda t: F.substr(t, F.instr(t, "|") + 1))
+
+
+def _whole(items: Column) -> Column:
+    """Whether tagged items are of all groups that their tag names."""
+    named = F.split(F.substring_index(F.get(items, F.lit(0)), "|", 1), ",")
+    return F.size(named) == F.size(F.array_distinct(F.transform(_plain(items), _group)))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
          max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``(rule_tokens, verdict, confidence, support, key)`` from ``(tokens,
     verdict)`` rows; key is the rarest token of the rule."""
     spark = labelled.sparkSession
-    baskets = labelled.where(F.size("tokens") > 0).select(
-        F.concat("tokens", F.array(F.concat(F.lit(_VERDICT), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = (model.associationRules.where(F.startswith(F.get("consequent", F.lit(0)), F.lit(_VERDICT)) & (F.size("antecedent") <= max_tokens))
-             .select(F.array_sort("antecedent").alias("rule_tokens"), F.substr(F.get("consequent", F.lit(0)), F.lit(len(_VERDICT) + 1)).alias("verdict"), "confidence", "support"))
+    labelled = staged(labelled.where(F.size("tokens") > 0), "url-labels")
+    urls = labelled.count()
+    least = max(1, math.ceil(min_support * urls - 1e-9))
+    baskets = staged(_baskets(labelled, least), "url-baskets")
+    total = max(1, baskets.count())
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=min_confidence).fit(baskets)
+    said = F.element_at(_plain(F.col("consequent")), 1)
+    rules = (model.associationRules.where(F.startswith(said, F.lit(_VERDICT)) & (F.size("antecedent") <= max_tokens) & _whole(F.col("antecedent")))
+             .select(F.array_sort(_plain(F.col("antecedent"))).alias("rule_tokens"), F.substr(said, F.lit(len(_VERDICT) + 1)).alias("verdict"), "confidence",
+                     (F.round(F.col("support") * total) / max(1, urls)).alias("support")))
     where = shared_path(spark, "url-rules", unique=True)
     rules.write.parquet(where)  # mined once; used by the pruning and the index
     rules = spark.read.parquet(where)
@@ -102,7 +156,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     implied = (parts.where(F.size("part") < F.size("rule_tokens")).join(shorter, "part")
                .where((F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence"))).select("rule_tokens", "verdict").distinct())
     rules = rules.join(implied, ["rule_tokens", "verdict"], "left_anti")
-    freq = model.freqItemsets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), "freq")
+    singles = model.freqItemsets.where(F.size("items") == 1)
+    freq = singles.select(F.get(_plain(F.col("items")), F.lit(0)).alias("token"), "freq", _whole(F.col("items")).alias("whole")).where("whole").drop("whole")
     filed = rules.select("*", F.explode("rule_tokens").alias("token")).join(freq, "token")
     return (filed.groupBy("rule_tokens", "verdict", "confidence", "support")
             .agg(F.min(F.struct("freq", "token")).alias("rarest"))
