@@ -180,40 +180,47 @@ def blocks(benchmark: DataFrame, block_tokens: int):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE,
-          block_tokens: int = BLOCK_TOKENS, whole_rows: bool = False) -> DataFrame:
+          block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``(doc_id, item_id, matched, item_tokens, n_tiles, coverage)`` of every
     pair whose coverage reaches the threshold.  One pass over the documents a
     block; no shuffle."""
+    return _pairs(docs, benchmark, seed, coverage, block_tokens).drop("row")
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``leaks`` with a number of the document's row, the same in every pass."""
     spark = docs.sparkSession
     out = None
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     for ids, texts in blocks(benchmark, block_tokens):
         shared = spark.sparkContext.broadcast(Block(ids, texts, seed))
 
         def match(batches, shared=shared):
             block = shared.value
             for batch in batches:
-                ids = batch.column("doc_id")
+                ids, numbers = batch.column("doc_id"), batch.column("row")
                 got = []
                 for first, data, offsets in X.pieces(batch.column("text")):
-                    got += [(ids[first + row].as_py(), block.ids[k], m, n, t, m / n)
+                    got += [(numbers[first + row].as_py(), ids[first + row].as_py(), block.ids[k], m, n, t, m / n)
                             for row, k, m, n, t in block.matches(data, offsets, coverage) if n and m / n >= coverage]
                 yield pa.RecordBatch.from_pylist([dict(zip(_OUT.names, g)) for g in got], _OUT)
 
-        part = docs.select("doc_id", "text").mapInArrow(match, _SCHEMA)
+        part = docs.mapInArrow(match, _SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], _SCHEMA)
 
 
-_SCHEMA = "doc_id long, item_id long, matched long, item_tokens long, n_tiles long, coverage double"
-_OUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "matched", "item_tokens", "n_tiles")] + [("coverage", pa.float64())])
+_SCHEMA = "row long, doc_id long, item_id long, matched long, item_tokens long, n_tiles long, coverage double"
+_OUT = pa.schema([(n, pa.int64()) for n in ("row", "doc_id", "item_id", "matched", "item_tokens", "n_tiles")] + [("coverage", pa.float64())])
 
 
 def best_leak(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """One row per leaking document: the item it covers most (ties: the
-    smaller item id) and how many items it leaks."""
-    pairs = leaks(docs, benchmark, **how)
+    """One row per leaking row of ``docs`` (repeated rows and null ids are rows
+    of their own): the item it covers most (ties: the smaller item id) and how
+    many items it leaks."""
+    pairs = _pairs(docs, benchmark, **how)
     best = F.max(F.struct("coverage", (-F.col("item_id")).alias("minus_id"), "matched", "item_tokens", "n_tiles"))
-    return (pairs.groupBy("doc_id").agg(best.alias("b"), F.count_distinct("item_id").alias("n_items"))
+    return (pairs.groupBy("row", "doc_id").agg(best.alias("b"), F.count_distinct("item_id").alias("n_items"))
             .select("doc_id", (-F.col("b.minus_id")).alias("item_id"), F.col("b.matched").alias("matched"),
                     F.col("b.item_tokens").alias("item_tokens"), F.col("b.n_tiles").alias("n_tiles"),
                     F.col("b.coverage").alias("coverage"), "n_items"))

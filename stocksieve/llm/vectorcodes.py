@@ -63,9 +63,8 @@ def part_bounds(length: int) -> list[int]:
     return [k * each + min(k, more) for k in range(PARTS + 1)]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def _matrix(column: pa.Array, length: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), length)
 
 
 def blocks(length: int):
@@ -77,7 +76,7 @@ def blocks(length: int):
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(a, BLOCK_ROWS)
-                x = integers(_matrix(part.column("embedding")), limit)
+                x = integers(_matrix(part.column("embedding"), length), limit)
                 values, sizes, codes = [], [], []
                 for d in range(length):
                     distinct, code = np.unique(x[:, d], return_inverse=True)
@@ -205,7 +204,7 @@ def books_digest(book: np.ndarray, length: int) -> str:
 
 def first_book(kept: DataFrame, length: int) -> np.ndarray:
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "embedding", "label").limit(ENTRIES).toArrow()
-    return integers(_matrix(first.column("embedding").combine_chunks()), component_limit(length)).reshape(-1, length)
+    return integers(_matrix(first.column("embedding").combine_chunks(), length), component_limit(length))
 
 
 def with_label_sums(rows: DataFrame) -> DataFrame:

@@ -1,16 +1,21 @@
 """Registered queries on the smallest tables: against their SQL, and the
 pipeline against its parts."""
 
+import itertools
+import math
+import random
+import time
+
 import duckdb
 import pytest
 
 import corpus_pipeline
-from stocksieve.llm import queries
+from stocksieve.llm import decontaminate, queries, urlrules
 
 from ..conftest import SMALL
-from .test_operators import brute_repeats
+from .test_operators import brute_components, brute_repeats
 
-TABLES = ("documents", "labels", "pages", "benchmark")
+TABLES = ("documents", "labels", "pages", "benchmark", "embeddings")
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +41,7 @@ def test_query_matches_its_sql(spark, con, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "repeats", "leaks", "mix"]
 
 
@@ -46,6 +51,64 @@ def test_repeats_query_against_brute_force(spark, con):
     assert sorted(map(tuple, got)) == sorted(brute_repeats(rows))
 
 
+def test_near_copies_and_run_are_exact(spark, tmp_path):
+    """The near-copy stage keeps exactly the smallest id of each component, and
+    run() gives what its stages give one by one, to the row."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if name == "near_copies":
+            rows = sorted({(r.doc_id, r.text) for r in docs.collect()})
+            expect = {i for i, (d, n, c) in zip((r[0] for r in rows), brute_components(rows)) if not n or c == d}
+            assert {r.doc_id for r in out.collect()} == expect and out.count() == len(expect)
+        docs = out
+    got = corpus_pipeline.run(spark, SMALL)
+    assert got.columns == docs.columns
+    assert canon(got.columns, map(tuple, got.collect())) == canon(docs.columns, map(tuple, docs.collect()))
+
+
+def test_leaks_of_repeated_rows(spark):
+    """Every row that leaks has a row of its own, whatever its id."""
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {item} y"), (None, item), (None, f"other {item}"), (2, "clean text")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (7, item), (8, None), (9, "")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.n_items) for r in decontaminate.best_leak(docs, items).collect()), key=repr)
+    assert got == [(1, 7, 1), (1, 7, 1), (None, 7, 1), (None, 7, 1)]
+    none = decontaminate.best_leak(docs, items.limit(0))
+    assert none.count() == 0 and decontaminate.drop_leaks(docs, items.limit(0)).count() == 5
+
+
+def test_many_query_keys_are_mined_in_time(spark):
+    """Urls with 18 common query keys: combinations are bounded before mining."""
+    rng = random.Random(1)
+    urls = [f"http://{'example.org/en/1' if k % 2 else 'www.org/x'}{k}?" + "&".join(f"k{j}={rng.randrange(9)}" for j in range(18) if rng.random() < 0.9) for k in range(200)]
+    start = time.monotonic()
+    got = urlrules.judge_urls(spark.createDataFrame([*enumerate(urls), (900, "http://z.net/a?k1=2"), (901, "http://z.net/example?x=1")], "page_id long, url string")).collect()
+    assert time.monotonic() - start < 90 and len(got) == 202
+    assert {r.verdict for r in got if r.page_id < 200 and r.page_id % 2} == {"block"} and {r.verdict for r in got if r.page_id < 200 and r.page_id % 2 == 0} == {"allow"}
+
+
+def test_mined_rules_against_brute_force(spark):
+    """Every combination of at most three tokens: support and confidence."""
+    rng = random.Random(3)
+    rows = [([t for t in ("a", "b", "c", "d", "e") if rng.random() < 0.5], rng.choice(["allow", "block", "block"])) for _ in range(120)]
+    got = {(tuple(r.rule_tokens), r.verdict): (round(r.support, 9), round(r.confidence, 9)) for r in
+           urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.6).collect()}
+    rows = [(set(t), v) for t, v in rows if t]
+    least, rules = math.ceil(0.05 * len(rows)), {}
+    for k in (1, 2, 3):
+        for part in itertools.combinations("abcde", k):
+            have = [v for t, v in rows if t >= set(part)]
+            for v in ("allow", "block"):
+                if have.count(v) >= least and have.count(v) / len(have) >= 0.6:
+                    rules[part, v] = (round(have.count(v) / len(rows), 9), round(have.count(v) / len(have), 9))
+    shorter = lambda part, v: [rules[p, v] for k in (1, len(part) - 1) if k < len(part) for p in itertools.combinations(part, k) if (p, v) in rules]
+    kept = {k: x for k, x in rules.items() if not any(c >= x[1] for _, c in shorter(*k))}
+    assert got == kept and len(kept) > 3
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, count = docs.columns, docs.count()
