@@ -213,7 +213,7 @@ def landed(spark, site):
 
 @query("q_page_links", with_fixtures(["fx_insider"], """
 select date_insert, page, '/m/ins/ins.php?L=' || lpad(cast(page + 2 as varchar), 6, '0') as href
-from (select distinct date_insert, cast(floor(row_key / 100) as integer) as page from fx_insider)"""))
+from (select distinct date_insert, cast(floor(row_key / 100) as bigint) as page from fx_insider)"""))
 def q_page_links(spark, sf_dir):
     """Links to follow from each listing page."""
     pages = L.insider_pages(fixture(spark, sf_dir, "fx_insider"))

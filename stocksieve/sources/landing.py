@@ -36,7 +36,7 @@ def index_page_url(cik: Column, accession_number: Column) -> Column:
 
 def page_of(rows_per_page: int, key: str = "row_key") -> Column:
     """Page number: the place of the row's key range."""
-    return F.floor(F.col(key) / rows_per_page).cast("int")
+    return F.floor(F.col(key) / rows_per_page).cast("bigint")
 
 
 def _pages(rows: DataFrame, key_cols: list[str], body: str = "row_html") -> DataFrame:

@@ -1,6 +1,8 @@
 import datetime as dt
 
 
+from pyspark.sql import functions as F
+
 from stocksieve.sources import ingest as I
 from stocksieve.sources import landing as L
 
@@ -9,6 +11,10 @@ from .conftest import rows
 D1 = dt.date(2024, 12, 6)
 
 
+def keyed(df):
+    return df.withColumn("row_key", F.monotonically_increasing_id())
+
+
 def test_insider_pages_round_trip(spark):
     typed = spark.createDataFrame(
         [("AAA", "Sec A", "Jane Roe", "chief executive officer", dt.date(2024, 12, 5), "Purchase", "10", 1234567, 1500, "D", D1),
@@ -16,7 +22,7 @@ def test_insider_pages_round_trip(spark):
          ("BBB", "Sec <C> & co", "A. Person", "see remark", dt.date(2024, 12, 3), "Purchase", "12", 99, 1, "D", D1)],
         "symbol string, security string, reporting_name string, relationship string, trans_date date, "
         "purchase_sale string, price string, amount bigint, shares bigint, di string, date_insert date")
-    raw = I.parse_insider_pages(L.insider_pages(typed, rows_per_page=2))
+    raw = I.parse_insider_pages(L.insider_pages(keyed(typed), rows_per_page=2))
     clean = I.clean_insider(raw).orderBy("symbol")
     got = rows(clean, "symbol", "security", "relationship", "trans_date", "purchase_sale", "amount", "shares", "count")
     assert got == [
@@ -44,13 +50,25 @@ def test_home_tables(spark):
     low = spark.createDataFrame([("T3", "Gamma", "9%", D1)], "ticker string, company string, percent_owned string, date_insert date")
     sup = spark.createDataFrame([("T4 - Delta", "T4", "2", "$10", D1)],
                                 "company string, ticker string, count string, total_amount string, date_insert date")
-    pages = L.home_pages(home, big, low, sup)
-    h = I.parse_home_insider(pages).orderBy("date_filling")
-    assert rows(h, "ticker", "company", "date_filling", "total_value") == [
-        ("T1", "Alpha", dt.date(2024, 12, 2), 50), ("T1", "Alpha", dt.date(2024, 12, 6), 1000)]
-    assert rows(I.parse_bigbets(pages), "ticker", "company", "percent_owned", "count") == [("T2", "Beta", "3%", "4")]
-    assert rows(I.parse_lows(pages), "ticker", "company", "percent_owned") == [("T3", "Gamma", "9%")]
-    assert rows(I.parse_super(pages), "ticker", "company", "count", "total_amount") == [("T4", "Delta", "2", "$10")]
+    landed = L.home_pages(*map(keyed, (home, big, low, sup)))
+    for pages in (landed, I.home_cells(landed)):  # table by table, or all tables in one pass
+        h = I.parse_home_insider(pages).orderBy("date_filling")
+        assert rows(h, "ticker", "company", "date_filling", "total_value") == [
+            ("T1", "Alpha", dt.date(2024, 12, 2), 50), ("T1", "Alpha", dt.date(2024, 12, 6), 1000)]
+        assert rows(I.parse_bigbets(pages), "ticker", "company", "percent_owned", "count") == [("T2", "Beta", "3%", "4")]
+        assert rows(I.parse_lows(pages), "ticker", "company", "percent_owned") == [("T3", "Gamma", "9%")]
+        assert rows(I.parse_super(pages), "ticker", "company", "count", "total_amount") == [("T4", "Delta", "2", "$10")]
+
+
+def test_equal_rows_do_not_fill_one_page(spark):
+    low = spark.createDataFrame([("T3", "Gamma", "9%", D1)] * 95, "ticker string, company string, percent_owned string, date_insert date")
+    low = low.withColumn("row_key", F.monotonically_increasing_id() % 1000 + F.spark_partition_id() * 1000)
+    none = [spark.createDataFrame([], t) for t in ("company string, date_filling string, total_value string, price string, date_insert date, row_key long",
+                                                   "ticker string, company string, percent_owned string, count string, date_insert date, row_key long",
+                                                   "company string, ticker string, count string, total_amount string, date_insert date, row_key long")]
+    pages = L.home_pages(none[0], none[1], low, none[2], rows_per_page=10)
+    assert pages.select(F.size(F.split("html", "Gamma")) - 1).agg(F.max("(size(split(html, Gamma, -1)) - 1)")).first()[0] <= 10
+    assert I.parse_lows(pages).count() == 95
 
 
 def test_screener_ragged_chunk_goes_to_quarantine(spark):

@@ -98,4 +98,4 @@ def test_snapshot_read_merges_no_footers(spark, tmp_dir):
 
 def test_screens_read_only_needed_columns(spark):
     plan = plan_text(QUERIES["q_magic_screen"](spark, SMALL))
-    assert "ReadSchema: struct<p_partkey:bigint,p_size:int,p_retailprice:double>" in plan
+    assert "ReadSchema: struct<p_partkey:bigint,p_retailprice:double>" in plan

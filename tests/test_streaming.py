@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from stocksieve.sources import ingest as I
 from stocksieve.sources import landing as L
 from stocksieve.streaming.landing import batch_writer, ingest_landed, read_ingested
@@ -16,7 +18,7 @@ def _pages(spark):
                                 "ticker string, company string, percent_owned string, date_insert date")
     sup = spark.createDataFrame([("T4 - D", "T4", "1", "$1", D)],
                                 "company string, ticker string, count string, total_amount string, date_insert date")
-    return L.home_pages(home, big, low, sup, rows_per_page=10)
+    return L.home_pages(*[d.withColumn("row_key", F.monotonically_increasing_id() % 1000) for d in (home, big, low, sup)], rows_per_page=10)
 
 
 def test_stream_restart_and_replayed_batch_do_not_duplicate(spark, tmp_dir):
