@@ -96,8 +96,8 @@ def _combinations(groups: Column) -> Column:
     return F.concat(one, two, three)
 
 
-def _baskets(labelled: DataFrame, least: int) -> DataFrame:
-    """``(items)``: the frequent tokens of each url, dealt to baskets in which
+def _baskets(labelled: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """``(items)`` and their number: the frequent tokens of each url, dealt to baskets in which
     no long combination can arise.
 
     Tokens fall into ``GROUPS`` groups by hash.  A url makes a basket of each
@@ -110,10 +110,15 @@ def _baskets(labelled: DataFrame, least: int) -> DataFrame:
     each = rows.select("row", "verdict", F.explode("tokens").alias("token"))
     frequent = each.groupBy("token").count().where(F.col("count") >= least).select("token")
     kept = each.join(frequent, "token").groupBy("row", "verdict").agg(F.collect_set("token").alias("tokens"))
-    sets = kept.select("tokens", "verdict", F.explode(_combinations(F.array_sort(F.array_distinct(F.transform("tokens", _group))))).alias("groups"))
+    kept = staged(kept.withColumn("groups", F.array_sort(F.array_distinct(F.transform("tokens", _group)))), "url-tokens")
+    n = F.size("groups").cast("long")
+    total = kept.agg(F.sum(n + F.floor(n * (n - 1) / 2) + F.floor(n * (n - 1) * (n - 2) / 6)).alias("n")).first()["n"] or 0
+    # the rows are few and narrow, what they are expanded to is not: dealt out by a fixed number
+    parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = kept.repartition(parts, "row").select("tokens", "verdict", F.explode(_combinations(F.col("groups"))).alias("groups"))
     tag = F.concat(F.array_join("groups", ","), F.lit("|"))
     own = F.filter("tokens", lambda t: F.array_contains("groups", _group(t)))
-    return sets.select(F.transform(F.concat(own, F.array(F.concat(F.lit(_VERDICT), "verdict"))), lambda t: F.concat(tag, t)).alias("items"))
+    return sets.select(F.transform(F.concat(own, F.array(F.concat(F.lit(_VERDICT), "verdict"))), lambda t: F.concat(tag, t)).alias("items")), total
 
 
 def _group(token: Column) -> Column:
@@ -138,8 +143,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     labelled = staged(labelled.where(F.size("tokens") > 0), "url-labels")
     urls = labelled.count()
     least = max(1, math.ceil(min_support * urls - 1e-9))
-    baskets = staged(_baskets(labelled, least), "url-baskets")
-    total = max(1, baskets.count())
+    baskets, total = _baskets(labelled, least)
+    total = max(1, total)
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=min_confidence).fit(baskets)
     said = F.element_at(_plain(F.col("consequent")), 1)
     rules = (model.associationRules.where(F.startswith(said, F.lit(_VERDICT)) & (F.size("antecedent") <= max_tokens) & _whole(F.col("antecedent")))
