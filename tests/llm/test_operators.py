@@ -471,19 +471,20 @@ def test_repeats_of_a_passage_that_recurs_in_its_document(spark):
 def test_contexts_go_on_over_batches_alike(monkeypatch):
     rng = np.random.default_rng(6)
     table = np.unique(np.stack([rng.integers(0, 12, 600), rng.integers(0, 3, 600), rng.integers(0, 4, 600), rng.integers(0, 40, 600)], 1), axis=0).astype(np.uint64)
-    key, rest = table[:, 0] << X.U(16), (table[:, 1] << X.U(32)) | (table[:, 3] << X.U(6)) | X.U(1)
-    key[table[:, 0] > 8] = np.arange((table[:, 0] > 8).sum()).astype(np.uint64) // X.U(9) + X.U(9) << X.U(16)
-    rest[table[:, 0] > 8] &= X.U(0xFFFFFFFF)  # anchors of one content
-    order = np.lexsort([table[:, 2], rest >> X.U(32), key])
+    high, low = suffixes._HIGH, suffixes._START + suffixes._COUNT
+    key, rest = table[:, 0] << X.U(high), (table[:, 1] << X.U(low)) | (table[:, 3] << X.U(6)) | X.U(1)
+    key[table[:, 0] > 8] = np.arange((table[:, 0] > 8).sum()).astype(np.uint64) // X.U(9) + X.U(9) << X.U(high)
+    rest[table[:, 0] > 8] &= X.U((1 << low) - 1)  # anchors of one content
+    order = np.lexsort([table[:, 2], rest >> X.U(low), key])
     columns = [pa.array(x[order]) for x in (key.view(np.int64), rest.view(np.int64), table[:, 2].astype(np.int64), np.zeros(len(key), np.int32))]
     batch = pa.RecordBatch.from_arrays(columns, ["key", "rest", "doc", "copy"])
     rows = list(zip(*(c.to_pylist() for c in columns[:3])))
     least, contents = {}, {}
     for k, r, d in rows:
-        least[k, r >> 32] = min(d, least.get((k, r >> 32), d))
-        contents.setdefault(k >> 16, set()).add(r >> 32)
-    repeat = sorted((d, (r >> 6) & 63) for k, r, d in rows if d > least[k, r >> 32])
-    on = sorted((k >> 16, d, (r >> 6) & 63) for k, r, d in rows if d == least[k, r >> 32] and len(contents[k >> 16]) > 1)
+        least[k, r >> low] = min(d, least.get((k, r >> low), d))
+        contents.setdefault(k >> high, set()).add(r >> low)
+    repeat = sorted((d, (r >> 6) & 63) for k, r, d in rows if d > least[k, r >> low])
+    on = sorted((k >> high, d, (r >> 6) & 63) for k, r, d in rows if d == least[k, r >> low] and len(contents[k >> high]) > 1)
     for size in (1, 2, 7, 50, 1000):
         out = [x for b in suffixes._classes(batch.slice(k, size) for k in range(0, len(rows), size)) for x in b.to_pylist()]
         assert sorted((x["doc"], x["start"]) for x in out if x["anchor"] is None) == repeat
@@ -494,6 +495,39 @@ def test_contexts_go_on_over_batches_alike(monkeypatch):
     assert set(on) <= {(x["anchor"], x["doc"], x["start"]) for x in out}
 
 
+def context_windows(rows):
+    """Place, document and anchor of every window of packed contexts."""
+    out = []
+    for b in suffixes._context_rows(rows):
+        key, rest = b.column("key").to_numpy().view(X.U), b.column("rest").to_numpy().view(X.U)
+        for a, r, d in zip((key >> X.U(suffixes._HIGH)).tolist(), rest.tolist(), b.column("doc").to_pylist()):
+            start = (r >> suffixes._COUNT) & ((1 << suffixes._START) - 1)
+            out += [(d, start + k, a) for k in range(r & ((1 << suffixes._COUNT) - 1))]
+    return sorted(out)
+
+
+def test_pieces_of_long_texts_lose_no_window(monkeypatch):
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abé ") for _ in range(n)) for n in (40, 49, 50, 51, 700, 149, 150, 1000)] + ["", None, "x" * 400]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(np.zeros(len(texts), np.int32)), pa.array(texts)], ["doc", "copy", "text"])
+    whole = context_windows([batch])
+    sizes = [len((t or "").encode()) for t in texts]
+    assert [w[:2] for w in whole] == [(d, p) for d, n in enumerate(sizes) for p in range(n - 49)]
+    monkeypatch.setattr(suffixes, "TEXT_PIECE", 100)
+    assert context_windows([batch.slice(k, 1) for k in range(len(texts))]) == whole
+
+
+def test_repeats_of_texts_longer_than_a_piece(spark):
+    rng = random.Random(22)
+    size = suffixes.TEXT_PIECE
+    long = "".join(rng.choices("abcdefgh \n", k=size + 3000))
+    other = "".join(rng.choices("abcdefgh \n", k=size + 100))
+    rows = [(3, long), (1, "start " + long[size - 200:size + 300]), (7, long[:70] + other + long[-500:]), (8, "x" + long[1:]), (9, long[size - 20:size + 29])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collected(suffixes.dedup_digest(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute_repeats(rows), key=repr)
+
+
 def test_suffix_array_orders_suffixes():
     rng = np.random.default_rng(4)
     for alphabet in (1, 2, 3, 200):
