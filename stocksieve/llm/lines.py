@@ -1,8 +1,12 @@
 """Quality rules, line first.
 
 Rules run on each line: it must have a word, end in closing punctuation, not be
-navigation (bars between entries), not be mostly symbols, not be shouted, and
-not be boilerplate.  Lines that fail are removed; a document is rejected when
+mostly symbols, not be shouted, and not be navigation or boilerplate.  Those two
+are told by figures that hold in any language: separators between entries
+(bars, arrows, dots, or single-sided guillemets), links, and in short lines the
+share of words that begin with a capital.  Set phrases of site furniture in
+four languages count in short lines only, so prose that speaks of cookies
+stays.  Lines that fail are removed; a document is rejected when
 the removed lines hold more than ``MAX_LOST_PERCENT`` of its word characters,
 or when it fails the base rules on its whole text (too few words, too many
 words in repeated 5-word windows).
@@ -26,8 +30,18 @@ WORD = r"[^\x20\x09-\x0D]"
 GAPS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 CLOSING = r"[.!?:;,\"')\]}»”’…][\x20\x09-\x0D]*$"
+SEPARATORS = "|>›→·•"  # » too, where no « opens a quotation
+LINK = r"(?i)https?://|www[.]|[]][(]"
+CAPITAL = r"(^|[\x20\x09-\x0D])[A-ZÀ-ÖØ-Þ]"
 BOILERPLATE = (r"(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|subscribe|newsletter"
-               r"|sign (up|in)|log ?in|click here|read more|javascript|lorem ipsum)")
+               r"|sign (up|in)|log ?in|click here|read more|javascript|lorem ipsum"
+               r"|tous droits r.serv|mentions l.gales|politique de confidentialit|se connecter|lire la suite|plan du site"
+               r"|alle rechte vorbehalten|datenschutz|impressum|nutzungsbedingungen|weiterlesen|jetzt anmelden"
+               r"|todos los derechos reservados|pol.tica de privacidad|aviso legal|iniciar sesi.n|leer m.s|mapa del sitio)")
+SHORT_CHARS = 200
+MIN_CAPITAL_WORDS = 4
+CAPITAL_PERCENT = 80
+MAX_LINKS = 1
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -43,9 +57,24 @@ def good_line(line: Column) -> Column:
     """Whether a line with a word passes every rule."""
     solid = F.length(without(line, SPACES))
     symbols = F.length(line) - F.length(without(line, SYMBOLS))
-    bars = F.length(line) - F.length(without(line, "|"))
     shouted = (solid >= SHOUTED_CHARS) & line.rlike("[A-Z]") & ~line.rlike("[a-zß-öø-ÿ]")
-    return line.rlike(CLOSING) & (bars < 2) & (symbols * 10 <= solid) & ~shouted & ~line.rlike(BOILERPLATE)
+    return line.rlike(CLOSING) & (symbols * 10 <= solid) & ~navigation(line) & ~shouted & ~furniture(line)
+
+
+def navigation(line: Column) -> Column:
+    """Whether a line lists entries: separators between them, or links."""
+    separators = F.length(line) - F.length(without(line, SEPARATORS))
+    closing = F.when(~line.contains("«"), F.length(line) - F.length(without(line, "»"))).otherwise(0)
+    links = F.when(line.contains("://") | line.contains("www.") | line.contains("]("), F.regexp_count(line, F.lit(LINK))).otherwise(0)
+    return (separators + closing >= 2) | (links > MAX_LINKS)
+
+
+def furniture(line: Column) -> Column:
+    """Whether a short line is a title or a set phrase of a site."""
+    words = F.regexp_count(line, F.lit(WORD + "+"))
+    capitals = F.regexp_count(line, F.lit(CAPITAL))
+    titled = (words >= MIN_CAPITAL_WORDS) & (capitals * 100 >= words * CAPITAL_PERCENT)
+    return (F.length(line) < SHORT_CHARS) & (titled | line.rlike(BOILERPLATE))
 
 
 def window_hashes(words: Column) -> Column:

@@ -117,10 +117,13 @@ again as (select r, i from (select r, i, count(*) over (partition by r, g) as n
 rep as (select r, count(distinct i + k) as n from again, (select unnest([0, 1, 2, 3, 4]) as k) group by r),
 g as (select w.*, coalesce(rep.n, 0) as n_repeat_words, list_filter(lines, lambda x:
         regexp_matches(x, '[.!?:;,"'')\]}»”’…][\x20\x09-\x0D]*$')
-        and length(x) - length(translate(x, '|', '')) < 2
         and (length(x) - length(translate(x, '#*$%&|<>', ''))) * 10 <= length(translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))
+        and length(x) - length(translate(x, '|>›→·•', '')) + case when contains(x, '«') then 0 else length(x) - length(translate(x, '»', '')) end < 2
+        and len(regexp_extract_all(x, '(?i)https?://|www[.]|[]][(]')) <= 1
         and not (length(translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) >= 20 and regexp_matches(x, '[A-Z]') and not regexp_matches(x, '[a-zß-öø-ÿ]'))
-        and not regexp_matches(x, '(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|subscribe|newsletter|sign (up|in)|log ?in|click here|read more|javascript|lorem ipsum)')) as good
+        and not (length(x) < 200 and len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 4 and
+            len(regexp_extract_all(x, '(^|[\x20\x09-\x0D])[A-ZÀ-ÖØ-Þ]')) * 100 >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) * 80)
+        and not (length(x) < 200 and regexp_matches(x, '(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|subscribe|newsletter|sign (up|in)|log ?in|click here|read more|javascript|lorem ipsum|tous droits r.serv|mentions l.gales|politique de confidentialit|se connecter|lire la suite|plan du site|alle rechte vorbehalten|datenschutz|impressum|nutzungsbedingungen|weiterlesen|jetzt anmelden|todos los derechos reservados|pol.tica de privacidad|aviso legal|iniciar sesi.n|leer m.s|mapa del sitio)'))) as good
     from w left join rep on w.r = rep.r),
 f as (select doc_id, cast(len(words) as bigint) as n_words,
     cast(length(translate(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) as bigint) as word_chars,

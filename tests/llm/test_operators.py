@@ -416,6 +416,19 @@ def test_lines_are_cleaned_and_junk_is_rejected(spark):
     assert got[1].kept_text == clean and got[1].n_bad_lines == 1
 
 
+@pytest.mark.parametrize("line, good", [
+    ("Accueil > Produits > Chaussures > Promotions.", False), ("Start » Schuhe » Herren.", False), ("Inicio · Tienda · Contacto.", False),
+    ("Home → News → Sport.", False), ("Il dit « oui » et puis « non » à tous.", True), ("Un seul | mot entre deux barres.", True),
+    ("See https://a.org/x and https://b.org/y.", False), ("See https://a.org/x for more on that.", True),
+    ("Nos Produits Pour Votre Maison.", False), ("Der Hund lief schnell in den Wald.", True), ("Ja. Nein.", True),
+    ("Alle Rechte vorbehalten, Impressum.", False), ("Todos los derechos reservados.", False), ("Mentions légales et plan du site.", False),
+    ("He ate a cookie.", False), ("The privacy of cookies " + "is a matter that was discussed at length " * 5 + "here.", True),
+    ("no closing sign", False), ("EVERY WORD OF THIS IS SHOUTED.", False), ("#### $$$$ %%%% a.", False)])
+def test_line_rules_in_four_languages(spark, line, good):
+    row = lines.judge_lines(spark.createDataFrame([(1, line)], "doc_id long, text string")).first()
+    assert (row.n_bad_lines, row.kept_text) == ((0, line) if good else (1, ""))
+
+
 # ---- op8
 
 def brute_repeats(rows):
