@@ -32,3 +32,33 @@ def test_filing_bodies_are_parsed_once_above_their_join(spark):
     lines = [x for x in plan.splitlines() if "from_xml" in x or "information table" in x]
     assert len(lines) == 2 and all("Generate" in x for x in lines)
     assert not any("from_xml" in x for x in below(plan, "Join Inner"))
+
+
+def test_text_of_a_tag_or_table_is_computed_once(spark):
+    from stocksieve.functions import html as H
+    from stocksieve.functions import markup as M
+    df = spark.createDataFrame([("<p>",)], "h string")
+    text = F.reverse("h")
+    for column in (M.attribute(text, "href"), M.has_class(text, "a b"), M.element(text, "div", lambda t: M.has_value(t, "id", "x")), M.first_href(text)):
+        assert optimized(df.select(column.alias("x"))).count("reverse(") == 1
+
+
+@pytest.mark.parametrize("html, expect", [
+    ("<table class='a&#39;b  c'>1</table>", "1"), ("<table class='c'>2</table>", "2"), ("<table class='d'>3</table>", None),
+    ("<table class='c'>a\0b<table>n</table>d</table>", "a\0b<table>n</table>d"), ("\0<TABLE class=c>4", "4"), (None, None), ("", None),
+    ("<table><!--x--></table><table class=c><STYLE>y</STYLE>5</table>", "5")])
+def test_classed_table_on_odd_text(spark, html, expect):
+    from stocksieve.functions import html as H
+    df = spark.createDataFrame([(html,)], "h string")
+    assert df.select(H.table_with_class("h", "c")).first()[0] == expect
+
+
+def test_cells_are_read_before_rows_are_filtered(spark):
+    from stocksieve.sources import ingest as I
+    docs = spark.createDataFrame([("f", "d", "i", "<table summary='Form 13F-NT Header Information'><tr><td>1</td></tr><tr></tr><tr></tr><tr><td> a </td></tr><tr></tr></table>"),
+                                  ("g", "d", "i", "<table summary='Form 13F-NT Header Information'><tr><td>1</td></tr></table>"), ("h", "d", "i", None)],
+                                 "fund_name string, filing_date string, date_insert string, html string")
+    rows = I.parse_info_table(docs)
+    assert sorted((r.fund_name, r.cells) for r in rows.collect()) == [("f", []), ("f", ["a"])]
+    plan = optimized(rows.where(F.size("cells") == 1))
+    assert sum("<td" in x for x in plan.splitlines()) == 1
