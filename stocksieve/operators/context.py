@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.dates import as_date
 from ..functions.ranks import numbered
 from ..functions.text import strip_ws
+from ..sources.snapshots import stage
 
 ROWS_PER_PAGE = 60
 
@@ -80,9 +81,12 @@ def render_sections(sections: list[Section], rows_per_page: int = ROWS_PER_PAGE)
     pages = (placed.join(F.broadcast(starts), "section")  # one row a section
              .select("section", F.floor((F.col("place") - F.col("start")) / rows_per_page).cast("int").alias("page"), F.struct("place", "line").alias("row"))
              .groupBy("section", "page").agg(F.count("*").alias("n_shown"), F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["line"]), "\n").alias("rows")))
-    return (heads.join(pages, "section", "left")
-            .select("section", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-                    F.coalesce("n_shown", F.lit(0)).alias("n_shown"), F.concat("header", F.coalesce("rows", F.lit(""))).alias("text")))
+    # the few heads go to the pages: a join on the section would send all pages
+    # of one to one task
+    filled = pages.join(F.broadcast(heads), "section")
+    empty = heads.where(F.col("n_rows").isNull()).select("*", F.lit(0).alias("page"), F.lit(0).cast("long").alias("n_shown"), F.lit("").alias("rows"))
+    return (filled.unionByName(empty)
+            .select("section", "page", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_shown", F.concat("header", "rows").alias("text")))
 
 
 # Fixed prompt layouts, in the order the prompts are answered: the sections each
@@ -128,6 +132,7 @@ def report_chain(sections: DataFrame, answer, as_of, path: str) -> tuple[DataFra
     into a ``(prompt_name, report_text)`` row; its text is written and read
     back, and later prompts carry it."""
     spark = sections.sparkSession
+    sections = stage(spark, sections, f"{path}/sections")  # several prompts carry a section
     reports = spark.createDataFrame([], "prompt_name string, report_text string")
     for nth, prompt in enumerate(PROMPTS):
         assemble_prompt(sections, reports, prompt_layout(spark, prompt), as_of).write.mode("append").parquet(f"{path}/prompts")

@@ -62,3 +62,23 @@ def test_cells_are_read_before_rows_are_filtered(spark):
     assert sorted((r.fund_name, r.cells) for r in rows.collect()) == [("f", []), ("f", ["a"])]
     plan = optimized(rows.where(F.size("cells") == 1))
     assert sum("<td" in x for x in plan.splitlines()) == 1
+
+
+def test_prompts_read_staged_sections(spark, tmp_dir):
+    import os
+    from stocksieve.operators import context as X
+    df = spark.createDataFrame([("A", 1)], "ticker string, n int")
+    names = sorted({s for secs, _ in X.PROMPTS.values() for s in secs})
+    sections = X.render_sections([(n, df, ["ticker"], [("ticker", False)]) for n in names])
+    prompts, _ = X.report_chain(sections, lambda p, texts, reports: spark.createDataFrame([(p, "A")], "prompt_name string, report_text string"), "2024-01-31", tmp_dir)
+    assert os.path.isdir(f"{tmp_dir}/sections") and prompts.count() == len(X.PROMPTS)
+
+
+def test_pages_of_a_section_meet_its_head_where_they_are(spark):
+    from stocksieve.operators import context as X
+    df = spark.createDataFrame([(f"T{i}", i) for i in range(50)], "ticker string, n int")
+    order = [("ticker", False)]
+    sections = X.render_sections([("a", df, ["ticker"], order), ("none", df.where("n < 0"), ["ticker"], order)], rows_per_page=20)
+    assert not any("collect_list" in x for x in below(optimized(sections), "Join LeftOuter"))
+    got = sorted((r.section, r.page, r.n_rows, r.n_shown, r.text.count("\n")) for r in sections.collect())
+    assert got == [("a", 0, 50, 20, 20), ("a", 1, 50, 20, 20), ("a", 2, 50, 10, 10), ("none", 0, 0, 0, 1)]
