@@ -34,6 +34,27 @@ def test_filing_bodies_are_parsed_once_above_their_join(spark):
     assert not any("from_xml" in x for x in below(plan, "Join Inner"))
 
 
+def test_chunks_and_home_tables_are_computed_once(spark):
+    from stocksieve.functions import html as H
+    from stocksieve.sources import ingest as I
+    df = spark.createDataFrame([(["a", "b", "c"],)], "x array<string>")
+    assert optimized(df.select(H.chunks(F.reverse("x"), 2).alias("c"))).count("reverse(") == 1
+    assert df.select(H.chunks("x", 2)).first()[0] == [["a", "b"], ["c"]]
+    pages = spark.createDataFrame([("d", "<table><tr><td>1</td></tr></table>")], "date_insert string, html string")
+    for plan in (optimized(I.home_cells(pages)), optimized(I.parse_screener(pages))):
+        assert not any("Filter" in x and "regexp_extract_all" in x for x in plan.splitlines())
+
+
+def test_store_day_parses_holding_pages_once(spark):
+    from stocksieve.operators.snapshot_day import Landed, snapshot_tables
+    page = "date_insert date, page bigint, html string"
+    empty = spark.createDataFrame([], page)
+    docs = spark.createDataFrame([], "fund_name string, filing_date string, date_insert date, html string")
+    tables = snapshot_tables(Landed(empty, empty, empty, empty, docs))
+    for name in ("sec_13f", "sec_13f_quarantine", "finviz_screen", "finviz_screen_quarantine"):
+        assert "<table" not in optimized(tables[name])
+
+
 def test_text_of_a_tag_or_table_is_computed_once(spark):
     from stocksieve.functions import html as H
     from stocksieve.functions import markup as M
