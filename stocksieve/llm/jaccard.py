@@ -12,8 +12,11 @@ have 100 * intersection >= 75 * union, as classes and components.
 3. ``runs``: classes that can be linked share one of the first
    ``n - ceil(0.75 n) + 1`` shingles of their sets in any common order.  The
    order puts shingles of crowded slots of a corpus-wide histogram last, then
-   goes by hash, so passages that many documents share hardly ever count.  Only
-   shingles shared by classes that step 2 has not tied together stay.
+   goes by hash, so passages that many documents share hardly ever count.  With
+   ``k`` more shingles each, linked classes share ``k + 1`` of them (``spare``):
+   classes that share fewer with all others go, so a shingle that unlike texts
+   have by chance makes no rows, however many texts there are.  Only shingles
+   shared by classes that step 2 has not tied together stay.
 4. ``tiles``: the classes of a shingle lie in order of size; each is held
    against those whose size is within the band that 0.75 allows, through the
    bitmaps: a bit that differs is a shingle that one of the two lacks, so
@@ -40,7 +43,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,15 +56,28 @@ SLOT_BITS = 20  # of the histogram of shingles: 4 MB
 FILTER_BITS = 22  # of the filter of wanted classes: 0.5 MB
 MINIMA = 6
 CROWDED = 4  # times the mean slot
+SPARE = 8  # one shingle in so many is sent beyond the prefix
 EARLIER = 16  # tiles of a class by which pairs met before are known
 _SALTS = [X.U((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64) for k in range(MINIMA)]
 _CLASS = X.U(0xD1B54A32D192ED03)
+_MEMBER = "key long, cls long, n int, early boolean"
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - (3 * n + 3) // 4 + 1
 
 
+def spare(n: np.ndarray) -> np.ndarray:
+    """How many shingles a set of n sends beyond ``prefix_size``."""
+    return n // SPARE
+
+
+def least_shared(n: Column) -> Column:
+    """How many of the shingles that a set of n sends a set linked with it sends
+    too, at least: one more than the smallest such set spares."""
+    return F.floor(F.floor((3 * n + 3) / 4) / SPARE) + 1
+
+
 def width(n: int) -> int:
     """Bits of the bitmap of a set of n: a power of two."""
     return min(1 << 16, max(64, 1 << int(2 * n - 1).bit_length()))
@@ -132,9 +148,12 @@ def _prefixes(shared):
                 order = np.lexsort((sets, rank, row))
                 sets, row = sets[order], row[order]
                 first = np.searchsorted(row, np.arange(len(n)))
-                keep = np.arange(len(row)) - first[row] < prefix_size(n)[row]
-                sets, row = sets[keep], row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(cls[row]), pa.array(n[row].astype(np.int32))], ["key", "cls", "n"])
+                place = np.arange(len(row)) - first[row]
+                early = place < prefix_size(n)[row]
+                keep = place < (prefix_size(n) + spare(n))[row]
+                sets, row, early = sets[keep], row[keep], early[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(cls[row]), pa.array(n[row].astype(np.int32)), pa.array(early)],
+                                                 ["key", "cls", "n", "early"])
     return rows
 
 
@@ -348,6 +367,12 @@ def stars(classes: DataFrame, stage) -> DataFrame:
     return near.select("a", "b", F.col("a").alias("low"), F.col("b").alias("high"))
 
 
+def _linkable(runs: DataFrame) -> DataFrame:
+    """The early rows of the classes that share enough to be linked."""
+    met = runs.groupBy("cls").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+    return runs.where("early").join(met.where(F.col("met") >= least_shared(F.col("n"))).select("cls"), "cls", "left_semi").select("key", "cls", "n")
+
+
 def _apart(members: DataFrame, classes: DataFrame, roots: DataFrame, every: bool, stage) -> DataFrame:
     """The rows of the shingles that different components share, with bitmaps
     (and, for every pair, the class's smallest such shingles), sorted by
@@ -395,9 +420,10 @@ def _placed(docs: DataFrame, signed: DataFrame, stage) -> DataFrame:
     counts = histogram(texts, _shingles, SLOT_BITS)
     mean = max(1.0, counts.sum() / max(1, np.count_nonzero(counts)))
     crowd = np.floor(np.log2(np.maximum(counts / (CROWDED * mean), 0.5))).astype(np.int8)  # -1: not crowded
-    keys = texts.mapInArrow(_prefixes(spark.sparkContext.broadcast(crowd)), "key long, cls long, n int")
+    keys = texts.mapInArrow(_prefixes(spark.sparkContext.broadcast(crowd)), _MEMBER)
     keys = keys.repartition("key").sortWithinPartitions("key", "cls")
-    members = stage(keys.mapInArrow(_shared_runs("cls", ["key", "cls", "n"]), "key long, cls long, n int"), "runs")
+    with scratch(spark) as own:
+        members = stage(_linkable(own(keys.mapInArrow(_shared_runs("cls", ["key", "cls", "n", "early"]), _MEMBER), "runs")), "members")
     for every in (False, True):
         with scratch(spark) as own:
             more = _apart(members, classes, roots, every, own).mapInArrow(_tiles(every), "a long, b long, low long, high long")

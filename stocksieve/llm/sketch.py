@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .components import lean
+
 _BLOCK = 1 << 14
 _SCHEMA = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
 _DDL = "block int, counts binary"
@@ -73,7 +75,8 @@ def _gathered(parts: DataFrame, both: Callable, kind: type, size: int) -> np.nda
         for k, part in held.items():
             yield pa.RecordBatch.from_pylist([{"block": k, "counts": part.tobytes()}], _SCHEMA)
 
-    got = parts.repartition("block").mapInArrow(add, _DDL).toArrow()
+    with lean(parts.sparkSession):
+        got = parts.repartition("block").mapInArrow(add, _DDL).toArrow()
     out = np.zeros(size, kind)
     for k, raw in zip(got.column("block").to_pylist(), got.column("counts")):
         out[k * _BLOCK:(k + 1) * _BLOCK] = np.frombuffer(raw.as_buffer(), kind)

@@ -135,6 +135,43 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert got == {r[2] for r in brute_components(rows)}
 
 
+def test_jaccard_chance_shingles_make_no_rows(spark, monkeypatch):
+    """Texts that share a passage with others but are like none leave before
+    the tiles; near copies around the threshold are found without the stars."""
+    rng = random.Random(21)
+    passages = [[f"p{k}x{i}" for i in range(9)] for k in range(40)]
+    rows = []
+    for i in range(120):
+        own = [f"d{i}w{j}" for j in range(60)]
+        rows.append((i, " ".join([*own[:30], *rng.choice(passages), *own[30:], *rng.choice(passages)])))
+    unlike = spark.createDataFrame(rows, "doc_id long, text string")
+    for i in range(60):
+        words = [f"n{i}w{j}" for j in range(rng.randrange(4, 160))]
+        rows.append((1000 + i, " ".join(words)))
+        cut = max(1, int(len(words) * rng.uniform(0.1, 0.4)))
+        rows.append((2000 + i, " ".join([*words[:-cut], *(f"o{i}w{j}" for j in range(rng.randrange(cut + 1)))])))
+    seen, apart = [], jaccard._apart
+    monkeypatch.setattr(jaccard, "_apart", lambda members, *rest: seen.append(members.count()) or apart(members, *rest))
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(unlike).collect()} == {(i, i) for i in range(120)}
+    assert seen == [0, 0]
+    monkeypatch.setattr(jaccard, "stars", lambda classes, stage: spark.createDataFrame([], "a long, b long, low long, high long"))
+    got = collected(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    expect = brute_components(rows)
+    assert got == sorted(expect, key=repr) and 10 < sum(r[0] != r[2] for r in expect) < 50
+
+
+def test_lean_queries_hand_few_bytes_at_once(spark):
+    df = spark.createDataFrame([(k, "x" * 10_000) for k in range(3000)], "k long, text string").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    got = staged(df.mapInArrow(sizes, "size long"), "sizes").collect()
+    assert max(r["size"] for r in got) < 6 << 20 and sum(r["size"] for r in got) > 30_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").startswith("67108864")
+
+
 def test_keep_one_of_each_group(docs):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
