@@ -147,3 +147,15 @@ def test_nan_is_not_null_for_sum(spark):
     # guard for the NaN -> null rule: Spark keeps NaN distinct from null
     df = spark.createDataFrame([(float("nan"),)], "d double")
     assert math.isnan(df.first()[0])
+
+
+def test_trimmed_texts_are_those_without_white_space_at_the_ends(spark):
+    from stocksieve.functions.text import WHITESPACE, strip_ws, trimmed
+    texts = ["", "a", "a b", "~", "!x!", "\x7f", "é", "aé", "éa", "None", None]
+    texts += [t for ch in WHITESPACE for t in (ch, ch + "a", "a" + ch, "a" + ch + "b")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", trimmed("t").alias("ok"), strip_ws("t").alias("s"))
+    for r in df.collect():
+        assert r.s == (r.t.strip() if r.t is not None else None)
+        if r.ok:
+            assert r.s == r.t and r.t != ""
+    assert {r.t for r in df.where("ok").collect()} >= {"a", "a b", "~", "!x!", "None"}

@@ -145,3 +145,20 @@ def test_info_url_ignores_markup(spark):
             '<tr><td>3</td><td>Information table</td><td><a href="/c.xml">c.xml</a></td></tr></table>')
     pages = spark.createDataFrame([("1", "2", html)], "cik string, accession_number string, html string")
     assert I.info_table_url(pages).first()["url"] == "https://www.sec.gov/c.xml"
+
+
+def test_holdings_cells_are_cleaned_by_one_expression(spark):
+    """Cells of any width and white space, read as before; the trim stands once
+    in the plan, not once a column."""
+    wide = ["A\nB ", "COM", "\u00a0c1\t", "None", " 1,234 ", "5", "SH", "None", "SOLE", " None", "7", "0", None]
+    rows = [wide, wide[:3] + wide[4:], wide[:2], wide[:5], wide + ["x"], [], None]
+    raw = spark.createDataFrame([("f", "2024-08-14", "d", r) for r in rows], "fund_name string, filing_date string, date_insert string, cells array<string>")
+    parsed = I.parse_holdings(raw)
+    got = [(r.ok, r.name_of_issuer, r.cusip, r.figi, r.value, r.prn_amt, r.manager, r.voting_sole, r.voting_none) for r in parsed.collect()]
+    good = (True, "A B", "c1", None, 1234, 5, "None", 7, None)
+    assert got[:3] == [good, good, (False, "A B", None, None, None, None, None, None, None)]
+    assert got[3] == (False, "A B", "c1", None, None, 1234, None, None, None)  # the fourth cell of a narrow row is its value
+    assert got[4][:4] == (False, "A B", "c1", None) and got[4][4] is None and got[4][5] == 1234
+    assert got[5] == (False, *[None] * 8) and got[6] == (None, *[None] * 8)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
