@@ -89,7 +89,12 @@ def dash_part(s: ColumnOrName, i: int, whole_tail: bool = False) -> Column:
     s = _c(s)
     if whole_tail and i == 1:
         return strip_ws(F.get(F.split(s, "-", 2), 1))
-    return strip_ws(F.get(F.split(s, "-"), i))
+    # cut in bytes, without an array of all parts; most parts end in spaces at most
+    part = F.substring_index(s, "-", i + 1)
+    if i:
+        part = F.when(F.substring_index(s, "-", i) != s, F.substring_index(part, "-", -1))
+    cut = F.trim(part)
+    return F.when(trimmed(cut), cut).otherwise(strip_ws(cut))
 
 
 def comma_items(s: ColumnOrName) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions.ranks import numbered
 from ..operators import screens as S
@@ -44,15 +47,25 @@ def _ordered_sql() -> str:
 
 @query("q_ordered_screens", _ordered_sql())
 def q_ordered_screens(spark, sf_dir):
-    """Every canned screen with the ordinal of each row in its report order."""
+    """Every canned screen with the ordinal of each row in its report order.
+
+    Numbering writes each screen once.  The writes need nothing of one another,
+    so they are submitted side by side: the tasks of one fill the cores that the
+    last tasks and small stages of another leave free."""
     sc = {**screens(spark, sf_dir), "bigbets": S.screen_bigbets(fixture(spark, sf_dir, "fx_bigbets"), AS_OF_ORDERS, sort=False)}
     frames = dict(zip(ORDERED, (sc[k] for k in ("insider", "superinvestor", "custom_insider", "bigbets", "week_low", "13f", "custom_screen", "magic"))))
-    parts = []
-    for name, (_, cols, order) in ORDERED.items():
+
+    def placed(name):
+        _, cols, order = ORDERED[name]
         keys = [F.col(c).desc_nulls_first() if d else F.col(c).asc_nulls_last() for c, d in order]
         keys += [F.col(c).asc_nulls_last() for c in cols if c not in dict(order)]
         cells = [F.coalesce((F.col(c).cast("decimal(20,4)") if c == "weight" else F.col(c)).cast("string"), F.lit("")) for c in cols]
-        parts.append(numbered(frames[name], keys, "place").select(F.lit(name).alias("screen"), (F.col("place") + 1).alias("nth"), F.concat_ws("|", *cells).alias("line")))
+        return numbered(frames[name], keys, "place").select(F.lit(name).alias("screen"), (F.col("place") + 1).alias("nth"), F.concat_ws("|", *cells).alias("line"))
+
+    with ThreadPoolExecutor(len(ORDERED)) as pool:
+        # a copy of the caller's job properties for every thread
+        jobs = [pool.submit(inheritable_thread_target(spark)(placed), name) for name in ORDERED]
+        parts = [job.result() for job in jobs]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
